@@ -29,9 +29,9 @@ _SQUARE = r"\[(?=/?INST\])"
 
 
 def escape(c: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\e")
-    t = F.regexp_replace(t, _ANGLE, r"\\\\l")
-    return F.regexp_replace(t, _SQUARE, r"\\\\b")
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\e")
+    t = F.regexp_replace(t, _ANGLE, r"\\l")
+    return F.regexp_replace(t, _SQUARE, r"\\b")
 
 
 def unescape(c: Column) -> Column:
@@ -82,7 +82,7 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
 
 def format_turns(turns: Column) -> tuple[Column, Column]:
     """(formatted, loss spans [(start, past)] in code points over the escaped assistant texts)."""
-    role = lambda t: F.regexp_replace(escape(t["role"]), "\n", r"\\\\n")
+    role = lambda t: F.regexp_replace(escape(t["role"]), "\n", r"\\n")
     parts = F.transform(turns, lambda t: F.struct(F.concat(F.lit(START), role(t), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
     formatted = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,past:bigint>>").alias("spans"))

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import BLANK
 
 SAMPLE = 2000  #: rows that costs and rejections are estimated on
 WINDOW = 8
@@ -54,25 +54,30 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with word, line and window statistics as columns _s.* added; no shuffle."""
     t = F.coalesce(F.col(text), F.lit(""))
     without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
-    one = docs.withColumns({"_w": words_of(F.col(text)), "_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(_HAS_WORD))})
-    two = one.withColumn(
-        "_h", F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    )
-    three = two.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda s, i: F.coalesce(F.get("_s", i)["h"] == s["h"], F.lit(False))
-    four = three.withColumn("_p", F.when(F.col("_s").isNotNull(), F.array_sort(F.transform(F.filter("_s", lambda s, i: same(s, i - 1) | same(s, i + 1)), lambda s: s["i"]))))
-    steps = F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    return four.withColumn(
-        "_q",
-        F.struct(
-            F.size("_w").cast("long").alias("n_words"),
+    one = docs.withColumns({"_w": F.split(F.btrim(t, F.lit(" \t\n\x0b\x0c\r")), BLANK), "_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(_HAS_WORD))})
+    empty = F.get("_w", F.lit(0)) == ""
+    two = one.withColumns({
+        "_q": F.struct(
+            F.when(empty, F.lit(0)).otherwise(F.size("_w")).cast("long").alias("n_words"),
             F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
             without("#*$%&|<>").alias("n_symbols"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
             F.size("_l").cast("long").alias("n_lines"),
-            F.coalesce(F.when(F.col("_p").isNotNull(), F.aggregate(steps, F.lit(0), lambda a, x: a + x)), F.lit(0)).cast("long").alias("n_repeat_words"),
         ),
-    ).drop("_w", "_l", "_h", "_s", "_p")
+        "_h": F.when(F.size("_w") >= WINDOW, F.transform("_w", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")),
+    }).drop("_w", "_l")
+    # From here on only longs travel: hashes of 2, 4 and 8 words from those of 1, 2 and 4.
+    pair = lambda h, by: F.zip_with(h, F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    three = two
+    for by in (1, 2, 4):
+        three = three.withColumn("_h", pair(F.col("_h"), by))
+    three = three.withColumn("_h", F.slice("_h", 1, F.greatest(F.size("_h") - (WINDOW - 1), F.lit(0))))
+    three = three.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_h")
+    same = lambda s, i: F.coalesce(F.get("_s", i)["h"] == s["h"], F.lit(False))
+    four = three.withColumn("_p", F.when(F.col("_s").isNotNull(), F.sort_array(F.transform(F.filter("_s", lambda s, i: same(s, i - 1) | same(s, i + 1)), lambda s: s["i"])))).drop("_s")
+    steps = F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+    repeats = F.coalesce(F.when(F.col("_p").isNotNull(), F.aggregate(steps, F.lit(0), lambda a, x: a + x)), F.lit(0)).cast("long")
+    return four.withColumn("_q", F.struct(F.col("_q.*"), repeats.alias("n_repeat_words"))).drop("_p")
 
 
 def _bind(rule: Rule, text: str) -> Column:

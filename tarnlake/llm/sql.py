@@ -14,7 +14,7 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 
 OP3 = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 g AS (SELECT rid, i, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
 r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 c AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY 1),
@@ -36,10 +36,10 @@ OP4 = r"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY 1),
 k AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS w FROM s),
-f AS (SELECT *, 3 * n / w AS at, sum(n) OVER ()::BIGINT AS total, sum(w) OVER ()::BIGINT AS all_w,
+f AS (SELECT *, 3 * n / w AS lvl, sum(n) OVER ()::BIGINT AS total, sum(w) OVER ()::BIGINT AS all_w,
              coalesce(sum(3 * n) OVER o, 0)::BIGINT AS full_n, coalesce(sum(w) OVER o, 0)::BIGINT AS full_w
       FROM k WINDOW o AS (ORDER BY 3 * n / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-e AS (SELECT total - full_n AS words, all_w - full_w AS weight FROM f WHERE (total - full_n) * w <= 3 * n * (all_w - full_w) ORDER BY at, source IS NULL, source LIMIT 1),
+e AS (SELECT total - full_n AS words, all_w - full_w AS weight FROM f WHERE (total - full_n) * w <= 3 * n * (all_w - full_w) ORDER BY lvl, source IS NULL, source LIMIT 1),
 g AS (SELECT source, n, coalesce(least((words * w)::DOUBLE / weight::DOUBLE, (3 * n)::DOUBLE), 0.0) AS target FROM f, e),
 p AS (SELECT d.doc_id, d.size, g.n AS source_size, g.target,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size, d.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
