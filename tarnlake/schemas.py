@@ -1,0 +1,9 @@
+"""Explicit schemas of the core relations; nothing is inferred."""
+
+FILES = "path string, lang string, size_bytes long, content_hash binary, mtime long, indexed_at long"
+SYMBOLS = "id long, path string, name string, qualified_name string, kind string, signature string, doc string, parent_id long, byte_start long, byte_end long, line_start int, line_end int, body_hash binary"
+REFS = "src_path string, src_symbol_id long, ident string, dst_symbol_id long, weight float"
+SNAPSHOT = "path string, hash binary, mtime long"
+VECTORS = "id long, qualified_name string, embedding array<float>, body_hash binary, lang string"
+ROLLUPS = "user_id string, repo_fingerprint string, day date, calls long, response_tokens long, static_baseline_tokens long, measured_baseline_tokens long, tokens_saved long, latency_micros long, latency_saved_micros long"
+KINDS = ("fn", "method", "struct", "class", "interface", "enum", "variant", "trait", "const", "static", "type", "mod", "macro", "field")
