@@ -88,7 +88,7 @@ def tokens(page: str) -> Iterator[tuple]:
             raw = page[pos:end]
             bad, inside = state()
             text = _html.unescape(raw) if "&" in raw else raw
-            yield ("word", bad, place(inside)), len(text.split()), text, broke, inside and not bad
+            yield ("word", bad, place(inside)), len(text.split()), text, broke, inside
             broke = False
         if not m:
             return
@@ -104,7 +104,7 @@ def tokens(page: str) -> Iterator[tuple]:
             if depth < 0:
                 continue
             bad, inside = stack[depth][1], stack[depth][2] and name != marker
-            yield ("/" + name if name in _NAMES else "/other", bad, place(inside)), 0, "", broke, inside and not bad
+            yield ("/" + name if name in _NAMES else "/other", bad, place(inside)), 0, "", broke, inside
             if name == marker and stack[depth][2]:
                 yield ("/marker", bad, place(inside)), 0, "", True, False
             del stack[depth:]
@@ -118,9 +118,9 @@ def tokens(page: str) -> Iterator[tuple]:
                     break
         bad, inside = state()
         bad = bad or _boiler(name, attrs)
-        yield (name if name in _NAMES else "other", bad, place(inside)), 0, "", broke, inside and not bad
+        yield (name if name in _NAMES else "other", bad, place(inside)), 0, "", broke, inside
         if name in ("br", "td", "th", "img", "input"):
-            yield ("blank", bad, place(inside)), 0, " ", broke, inside and not bad
+            yield ("blank", bad, place(inside)), 0, " ", broke, inside
             broke = False
         if name in _VOID or attrs.endswith("/") and name in ("svg", "path"):
             continue
@@ -143,9 +143,11 @@ def prior(key: tuple[str, bool, str]) -> float:
         return 0.0
     if name in ("marker", "/marker"):
         return -8.0
+    if place == "in":  # boilerplate inside the content costs nothing more: its words are left out afterwards
+        return -0.02
     if bad or place == "out":
         return -2.0
-    return -0.02 if place == "in" else -0.1 if name.lstrip("/") in ("p", "b", "i", "em", "strong", "br", "span", "td", "tr", "th") else -0.4
+    return -0.1 if name.lstrip("/") in ("p", "b", "i", "em", "strong", "br", "span", "td", "tr", "th") else -0.4
 
 
 def count_keys(page: str) -> Counter:

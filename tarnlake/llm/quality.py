@@ -126,3 +126,14 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text", bound: int = SAMPLE,
     for r in ordered:
         verdict = verdict.when(_bind(r, text), F.lit(r.name))
     return d.withColumn("base_failed", failed).withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+
+
+def keep(docs: DataFrame, rules=RULES, text: str = "text", bound: int = SAMPLE) -> DataFrame:
+    """The rows of docs that pass, with the columns of docs.
+
+    The row mark stops the optimizer from pushing the condition through the
+    projections that make the statistics: it would write each into the next and
+    compute them again and again.
+    """
+    judged = judge(docs, rules, text, bound).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)

@@ -41,7 +41,7 @@ class ZipReader:
         tail_at = max(0, size - 65_557)
         tail = self.at(tail_at, size - tail_at)
         k = tail.rfind(b"PK\x05\x06")
-        while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
+    while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
             k = tail.rfind(b"PK\x05\x06", 0, k)
         if k < 0:
             raise ValueError("no end of central directory: not a ZIP, or cut short")
