@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_find_package
+from .common import bounded_sample, workers_find_package
 
 MAX_LABELLED = 2000  #: labelled pages that the weights are counted on
 
@@ -202,13 +202,7 @@ def extract(page: str | None, weights: dict[tuple, float]) -> str:
 
 def labelled_counts(pages: DataFrame, bound: int = MAX_LABELLED) -> Counter:
     """Counts over at most bound labelled pages, those whose ids hash lowest."""
-    sample = (
-        pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>/]"))
-        .select("html", F.xxhash64("page_id", "html").alias("h"))
-        .orderBy("h")
-        .limit(bound)
-        .select("html")
-    )
+    sample = bounded_sample(pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>/]")).select("page_id", "html"), ["page_id", "html"], bound).select("html")
     workers_find_package(pages.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK
+from .common import BLANK, bounded_sample
 
 SAMPLE = 2000  #: rows that costs and rejections are estimated on
 WINDOW = 8
@@ -98,8 +98,7 @@ def order_rules(docs: DataFrame, rules=RULES, text: str = "text", bound: int = S
     """rules by rejections per cost on at most bound rows, those whose texts hash lowest."""
     if not rules:
         return []
-    rows = docs.select(text).withColumn("_hash", F.xxhash64(text)).orderBy("_hash").limit(bound).select(text)
-    sample = statistics(rows, text).persist()
+    sample = statistics(bounded_sample(docs.select(text), [text], bound), text).persist()
     try:
         n = sample.count()
         if not n:
