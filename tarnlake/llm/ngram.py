@@ -90,6 +90,7 @@ def unpack(raw: bytes, only: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
 
 def _save(folder: str, name: str, raw: bytes) -> None:
     fs, base = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
     part = f"{base}/{name}.{uuid.uuid4().hex[:8]}.part"
     with fs.open_output_stream(part) as f:
         f.write(raw)
@@ -102,12 +103,10 @@ def _load(folder: str, name: str, only: tuple[str, ...] = ()) -> dict[str, np.nd
         return unpack(f.read(), only)
 
 
-def _remove(folder: str, name: str) -> None:
+def _remove(folder: str) -> None:
     fs, base = pafs.FileSystem.from_uri(folder)
-    try:
-        fs.delete_file(f"{base}/{name}")
-    except FileNotFoundError:
-        pass
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -294,12 +293,16 @@ def _round(folder: str, length: int, shards: int, tokens: int, types: int, last:
                 ids[order], count[order] = got["rank"] * shards + shard[order], got["count"]
                 uni = (count + 1) / (tokens + types + 1)
                 score = np.bincount(c.doc, np.log10(uni)[c.words], len(c.lengths))
-                _save(folder, f"{chunk}.base", pack(ids=ids, known=np.bincount(c.doc, count[c.words] > 0, len(c.lengths)).astype(np.int64), base=score))
+                _save(folder, f"{chunk}.base", pack(ids=ids, count=count, known=np.bincount(c.doc, count[c.words] > 0, len(c.lengths)).astype(np.int64), base=score))
                 active, p, done = np.arange(len(c.words)), uni[c.words], np.zeros(len(c.lengths))
             else:
-                ids = _load(folder, f"{chunk}.base", ("ids",))["ids"]
-                state = _load(folder, f"{chunk}.{before}")
-                active, p, done = state["active"].astype(np.int64), state["p"], state["done"]
+                d = _load(folder, f"{chunk}.base", ("ids", "count"))
+                ids = d["ids"]
+                if before == 1:  # the first state is the unigrams'
+                    active, p, done = np.arange(len(c.words)), ((d["count"] + 1) / (tokens + types + 1))[c.words], np.zeros(len(c.lengths))
+                else:
+                    state = _load(f"{folder}/{before}", chunk)
+                    active, p, done = state["active"].astype(np.int64), state["p"].astype(np.float64), state["done"]
                 asked = c.before[active] + 1 >= before
                 got = _take(rows, ("whole", "own"))
                 at = active[asked]
@@ -314,7 +317,8 @@ def _round(folder: str, length: int, shards: int, tokens: int, types: int, last:
             if last:
                 done = done + np.bincount(c.doc[active], np.log10(p), len(c.lengths))
                 active, p = active[:0], p[:0]
-            _save(folder, f"{chunk}.{length}", pack(active=active.astype(np.uint64), p=p, done=done))
+            if length > 1 or last:  # between rounds a probability is kept in single precision
+                _save(f"{folder}/{length}", chunk, pack(active=active.astype(np.uint64), p=p.astype(np.float32), done=done))
             at = active[c.before[active] + 1 >= length]
             if last or not len(at):
                 continue
@@ -358,7 +362,7 @@ def _finish(folder: str, length: int, tokens: int):
             for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("keys").to_pylist()):
                 keys = pa.ipc.open_stream(raw).read_all().column("key").combine_chunks()
                 d, base = _load(folder, chunk, ("lengths", "held")), _load(folder, f"{chunk}.base", ("known", "base"))
-                done = _load(folder, f"{chunk}.{length}", ("done",))["done"]
+                done = _load(f"{folder}/{length}", chunk, ("done",))["done"]
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(d["held"].astype(bool)), pa.array(d["lengths"]), pa.array(base["known"]), pa.array(np.full(n, tokens, np.int64)), pa.array(base["base"]), pa.array(done)],
@@ -409,6 +413,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             break
         following = answers(sent, False, f"counts-{length}")
         drop_written(back)
+        _remove(f"{folder}/{length // 2}")  # the round that read this state is written
+        del sent, every
         back, length = following, length * 2
         _settle(spark)
     drop_written(back)
