@@ -138,7 +138,7 @@ def knn_filtered(s, d):
 
 @query()
 def fuzzy_rank(s, d):
-    return search.fuzzy(T.symbols(s, d), "brnd_").select("id", "name", "score")
+    return search.fuzzy(T.symbols(s, d), "wdgbrnd").select("id", "name", "score")
 
 
 # Paths and content policy
