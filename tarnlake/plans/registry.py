@@ -227,7 +227,7 @@ def parent_chain(s, d):
 # Graph
 @query(f"WITH {_THIN}{_EDGES} SELECT src, dst FROM edges")
 def call_edges(s, d):
-    return graph.call_edges(T.refs(s, d, True), T.symbols(s, d))
+    return graph.call_edges(T.refs(s, d), T.symbols(s, d))
 
 
 @query(f"WITH {_REFS}{_EDGES}, g AS (SELECT id, sum(i)::BIGINT AS indeg, sum(o)::BIGINT AS outdeg FROM (SELECT src AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY 1) SELECT * FROM g ORDER BY indeg DESC, id LIMIT 20")
@@ -245,18 +245,18 @@ def _tiers_sql(depth: int, a: str, b: str, seeds: str) -> str:
 
 @query(_tiers_sql(3, "dst", "src", "id % 50 = 0"))
 def callers_tiers(s, d):
-    return graph.tiers(graph.call_edges(T.refs(s, d, True), T.symbols(s, d)), T.symbols(s, d).where("id % 50 = 0").select("id"), 3, reverse=True)
+    return graph.tiers(graph.call_edges(T.refs(s, d), T.symbols(s, d)), T.symbols(s, d).where("id % 50 = 0").select("id"), 3, reverse=True)
 
 
 @query(_tiers_sql(3, "src", "dst", "id % 50 = 0"))
 def callees_tiers(s, d):
-    return graph.tiers(graph.call_edges(T.refs(s, d, True), T.symbols(s, d)), T.symbols(s, d).where("id % 50 = 0").select("id"), 3)
+    return graph.tiers(graph.call_edges(T.refs(s, d), T.symbols(s, d)), T.symbols(s, d).where("id % 50 = 0").select("id"), 3)
 
 
 @query(_tiers_sql(4, "dst", "src", "id % 50 = 0").replace("SELECT * FROM (", "SELECT seed, depth, x.id, contains(kind, 'STEEL') AS is_test FROM (", 1).rstrip() + " x JOIN symbols USING (id)")
 def impact(s, d):
     sym = T.symbols(s, d)
-    t = graph.tiers(graph.call_edges(T.refs(s, d, True), sym), sym.where("id % 50 = 0").select("id"), 4, reverse=True)
+    t = graph.tiers(graph.call_edges(T.refs(s, d), sym), sym.where("id % 50 = 0").select("id"), 4, reverse=True)
     return t.join(sym.select("id", F.col("kind").contains("STEEL").alias("is_test")), "id").select("seed", "depth", "id", "is_test")
 
 
@@ -264,12 +264,12 @@ def impact(s, d):
 m AS (SELECT a AS id, min(b) AS low FROM r GROUP BY 1) SELECT id, dense_rank() OVER (ORDER BY low) - 1 AS component FROM m""")
 def components(s, d):
     sym = T.symbols(s, d)
-    return graph.components(sym, graph.call_edges(T.refs(s, d, True), sym))
+    return graph.components(sym, graph.call_edges(T.refs(s, d), sym))
 
 
 @query(f"WITH {_THIN}{_EDGES}, f AS (SELECT name, count(*) AS fan FROM symbols GROUP BY 1) SELECT src, dst, round(sum((CASE WHEN strlen(name) > 8 THEN 10.0 ELSE 1.0 END) * (CASE WHEN fan > 5 THEN 0.1 ELSE 1.0 END)), 6) AS weight FROM (SELECT src_symbol_id AS src, id AS dst, name FROM refs JOIN symbols ON ident = name WHERE src_symbol_id <> id) JOIN f USING (name) GROUP BY 1, 2")
 def rank_edges(s, d):
-    return graph.rank_edges(T.refs(s, d, True), T.symbols(s, d)).withColumn("weight", F.round("weight", 6))
+    return graph.rank_edges(T.refs(s, d), T.symbols(s, d)).withColumn("weight", F.round("weight", 6))
 
 
 def _pagerank_sql() -> str:
@@ -282,14 +282,14 @@ def _pagerank_sql() -> str:
 @query(_pagerank_sql())
 def pagerank_global(s, d):
     sym = T.symbols(s, d)
-    e = graph.call_edges(T.refs(s, d, True), sym).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    e = graph.call_edges(T.refs(s, d), sym).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return graph.pagerank(sym, e, rounds=8, tolerance=0.0).select("id", F.round("score", 9).alias("score"))
 
 
 @query()
 def ppr_focus(s, d):
     sym = T.symbols(s, d)
-    e = graph.call_edges(T.refs(s, d, True), sym).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    e = graph.call_edges(T.refs(s, d), sym).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return graph.personalised(sym, e, sym.where("path = 'Brand#11'").select("id"), rounds=12).select("id", F.round("score", 9).alias("score"))
 
 
@@ -305,7 +305,7 @@ def repo_map_budget(s, d):
 @query()
 def subsystems(s, d):
     sym = T.symbols(s, d)
-    e = cut(graph.call_edges(T.refs(s, d, True), sym))
+    e = cut(graph.call_edges(T.refs(s, d), sym))
     return graph.subsystems(sym, graph.components(sym, e), e)
 
 

@@ -27,13 +27,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def refs(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive lines of an order: the part of a line refers to the name of the next line's part."""
     line = read(spark, sf_dir, "lineitem")
     order = [c for c in line.columns if c != "l_orderkey"]
     nxt = line.withColumn("next_part", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*order)))
-    if thin:
-        nxt = nxt.where("l_quantity >= 49 and l_returnflag = 'R'")
     names = symbols(spark, sf_dir).select(F.col("id").alias("next_part"), F.col("name").alias("ident"))
     return nxt.where("next_part is not null").select(F.col("l_partkey").alias("src_symbol_id"), "next_part").join(names, "next_part").select("src_symbol_id", "ident")
 
