@@ -2,11 +2,13 @@
 
 The corpus' positions are ordered by what precedes them, read backwards: a suffix
 array of contexts. It is built as prefix doubling builds one, by the last 1, 2, 4,
-8, ... tokens, and as in Larsson and Sadakane's form only groups of two or more
-training positions go on to the next length, so contexts grow without bound and
-the work shrinks. Each length's array is sharded by a hash of the context. A
+8, ... tokens. Groups of two or more training positions go on to the next length,
+and so does a single one that a held-out position still matches; of any other
+single one all longer contexts occur once, and its score follows without them.
+So contexts grow without bound and the work shrinks. Each length's array is sharded by a hash of the context. A
 shard sorts its (context, next token) pairs, binary-searches every query, sums
-training counts over the ranges found and sends back both counts.
+training counts over the ranges found and sends back both counts and whether a
+held-out position has the context.
 
 Model: p_0(w) = (c(w) + 1) / (N + V + 1), and for each length L of the ladder
 whose context occurs in training p_L(w) = (c(context, w) + mu_L * p_(L/2)(w)) /
@@ -205,17 +207,18 @@ class _Chunk:
 
 
 def _pairs(context: np.ndarray, following: np.ndarray, weight: np.ndarray, shards: int):
-    """Unique (context, next) in the order of shard, context, next: (shard bounds, context, next, training count, where each position went)."""
+    """Unique (context, next) in the order of shard, context, next: (shard bounds, context, next, training count, whether held-out positions are among it, where each position went)."""
     order = np.lexsort((following, context))
     c, f = context[order], following[order]
     first = np.r_[True, (c[1:] != c[:-1]) | (f[1:] != f[:-1])] if len(c) else np.zeros(0, bool)
     number = np.cumsum(first) - 1
     count = np.bincount(number, weight[order], minlength=0).astype(np.int64) if len(c) else np.zeros(0, np.int64)
+    held = np.bincount(number, minlength=0) > count if len(c) else np.zeros(0, bool)
     went = np.empty(len(c), np.int64)
     went[order] = number
     c, f = c[first], f[first]
     bounds = np.searchsorted(c, (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64))
-    return np.r_[0, bounds, len(c)].astype(np.int64), c, f, count, went
+    return np.r_[0, bounds, len(c)].astype(np.int64), c, f, count, held, went
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple]:
@@ -251,6 +254,7 @@ def _shard(first_round: bool):
                     yield _rows(_BACK, [(chunk, shard, int((total > 0).sum()), int(total.sum()), pack(rank=rank[at], count=total[at]))])
                 continue
             following = np.concatenate([d["next"] for _, d in sent])
+            held = np.unique(context[np.concatenate([d["held"] for _, d in sent]).astype(bool)])
             train = count > 0
             order = np.lexsort((following[train], context[train]))
             c, f = context[train][order], following[train][order]  # this shard's piece of the array
@@ -267,7 +271,8 @@ def _shard(first_round: bool):
                     at, end = np.where(less, mid + 1, at), np.where(more & ~less, mid, end)
                 hit = (at < hi) & (pf[np.minimum(at, max(0, len(pf) - 1))] == d["next"]) if len(pf) else np.zeros(len(at), bool)
                 own = np.where(hit, psum[np.minimum(at + 1, len(psum) - 1)] - psum[at], 0)
-                yield _rows(_BACK, [(chunk, shard, 0, 0, pack(whole=whole, own=own))])
+                met = np.searchsorted(held, d["context"], "right") > np.searchsorted(held, d["context"], "left")
+                yield _rows(_BACK, [(chunk, shard, 0, 0, pack(whole=whole, own=own, met=met.astype(np.uint8)))])
 
     return run
 
@@ -278,7 +283,7 @@ def _take(rows: list[dict], names: tuple[str, ...]) -> dict[str, np.ndarray]:
     return {k: np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in names}
 
 
-def _round(folder: str, length: int, shards: int, tokens: int, types: int, last: bool):
+def _round(folder: str, length: int, shards: int, tokens: int, types: int, last: bool, longest: int | None):
     """Answers of the length before (0: of the words) -> state files and, unless it is the last round, what is sent for `length`."""
     before = length // 2
 
@@ -304,14 +309,21 @@ def _round(folder: str, length: int, shards: int, tokens: int, types: int, last:
                     state = _load(f"{folder}/{before}", chunk)
                     active, p, done = state["active"].astype(np.int64), state["p"].astype(np.float64), state["done"]
                 asked = c.before[active] + 1 >= before
-                got = _take(rows, ("whole", "own"))
+                got = _take(rows, ("whole", "own", "met"))
                 at = active[asked]
-                went = _pairs(c.contexts(before, at), ids[c.words[at]], c.train[at], shards)[4]
-                whole, own = got["whole"][went], got["own"][went]
+                went = _pairs(c.contexts(before, at), ids[c.words[at]], c.train[at], shards)[5]
+                whole, own, met = got["whole"][went], got["own"][went], got["met"][went] > 0
                 mu = MU.get(before, MU_LONG)
                 p[asked] = np.where(whole > 0, (own + mu * p[asked]) / (whole + mu), p[asked])
                 go_on = np.zeros(len(active), bool)
-                go_on[asked] = whole > 1
+                go_on[asked] = np.where(c.train[at], (whole > 1) | met, whole > 0)
+                alone = np.zeros(len(active), bool)
+                alone[asked] = c.train[at] & (whole == 1) & ~met
+                longer = length
+                while (more := alone & (c.before[active] + 1 >= longer)).any() and (longest is None or longer <= longest):
+                    mu = MU.get(longer, MU_LONG)
+                    p[more] = (1 + mu * p[more]) / (1 + mu)
+                    longer *= 2
                 done = done + np.bincount(c.doc[active[~go_on]], np.log10(p[~go_on]), len(c.lengths))
                 active, p = active[go_on], p[go_on]
             if last:
@@ -322,10 +334,10 @@ def _round(folder: str, length: int, shards: int, tokens: int, types: int, last:
             at = active[c.before[active] + 1 >= length]
             if last or not len(at):
                 continue
-            bounds, context, following, count, _ = _pairs(c.contexts(length, at), ids[c.words[at]], c.train[at], shards)
+            bounds, context, following, count, held, _ = _pairs(c.contexts(length, at), ids[c.words[at]], c.train[at], shards)
             for s in np.flatnonzero(np.diff(bounds)):
                 k = slice(bounds[s], bounds[s + 1])
-                yield _rows(_SENT, [(int(s), chunk, pack(context=context[k], next=following[k], count=count[k].astype(np.uint32)))])
+                yield _rows(_SENT, [(int(s), chunk, pack(context=context[k], next=following[k], count=count[k].astype(np.uint32), held=held[k].astype(np.uint8)))])
 
     return run
 
@@ -407,7 +419,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     while True:
         last = back.isEmpty() or (longest is not None and length > longest)
         every = back.unionByName(manifest.select("chunk", empty.cast("long").alias("shard"), empty.cast("long").alias("types"), empty.cast("long").alias("tokens"), empty.cast("binary").alias("blob")))
-        sent = every.repartition(min(max(total[1], 1), 4 * wide), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_round(folder, length, shards, tokens, types, last), _SENT_SQL)
+        sent = every.repartition(min(max(total[1], 1), 4 * wide), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_round(folder, length, shards, tokens, types, last, longest), _SENT_SQL)
         if last:
             sent.write.format("noop").mode("overwrite").save()
             break
