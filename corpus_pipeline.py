@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and decides over all rows that the stage
 before kept; all but the last return the columns of documents. Near duplicates
-are texts of which five-word shingles have a Jaccard similarity of about 0.8 or
-more, as wide SimHash fingerprints estimate it. SQL can't express that stage, so
-there is no ORACLE_SQL; tests hold run() against a brute-force version.
+are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more; wide SimHash fingerprints find candidates and the sets confirm them. SQL
+can't express that stage, so there is no ORACLE_SQL; tests hold near-dedup
+against exact Jaccard over all pairs and run() against planted cases.
 """
 
 from __future__ import annotations

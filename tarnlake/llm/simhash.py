@@ -15,10 +15,14 @@ Keys:
 * sampled (``similar``): fingerprints of 512 bits; each table takes some bits as
   key. The bits per key follow log2 of the row count and the number of tables
   follows from them, so that a pair at the similarity is found with probability
-  ``recall`` at every size; none is capped.
+  ``recall`` at every size; none is capped. Prints there are of distinct shingles
+  and only find candidates, within three standard deviations of what the
+  similarity makes expect; a link needs the exact Jaccard similarity of the
+  shingle sets. Spanning links of candidates are verified first; then all
+  candidates between groups that these leave apart.
 
 Keys with over HEAVY rows are cut into salted blocks whose pairs are separate
-groups. Equal fingerprints are joined before all this.
+groups. Equal fingerprints (sampled: equal shingle sets) are joined before all this.
 
 Defined cases: null and empty texts have no words and the fingerprint zero, and
 are linked like others; texts under one shingle are one shingle; rows with null
@@ -56,17 +60,24 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, shingle: int, width: int) -> bytes:
-    """width bits, most significant first."""
+def shingles(text: bytes | None, shingle: int) -> list[int]:
+    """The hashes of a text's shingles; one for a text of fewer words, none for one without words."""
     words = (text or b"").lower().split()  # bytes: A-Z alone change, blanks are ASCII's six
     n = len(words)
-    if not n:
-        return bytes(width // 8)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        hashes = [digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n - shingle + 1)]
+        return [digest(b" ".join(words), SEED)] if n else []
+    return [digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n - shingle + 1)]
+
+
+def fingerprint(text: bytes | None, shingle: int, width: int) -> bytes:
+    """width bits, most significant first."""
+    return _print(shingles(text, shingle), width)
+
+
+def _print(hashes: list[int], width: int) -> bytes:
+    if not hashes:
+        return bytes(width // 8)
     ones = np.zeros(width, np.int64)
     for at in range(0, len(hashes), 4080):
         h = np.array(hashes[at : at + 4080], np.uint64)
@@ -89,6 +100,55 @@ def fingerprints(docs: DataFrame, shingle: int, width: int, key: str = "doc_id",
     return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, fp binary")
 
 
+def _set_prints(docs: DataFrame, shingle: int, width: int, key: str, text: str) -> DataFrame:
+    """(key, fp, digest) of each row: the fingerprint and a 128-bit digest of its distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [sorted(set(shingles(t, shingle))) for t in b.column(1).to_pylist()]
+            digests = [_digest(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_print(x, width) for x in sets], pa.binary()), pa.array(digests, pa.binary())], ["key", "fp", "digest"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, fp binary, digest binary")
+
+
+def _digest(distinct: list[int]) -> bytes:
+    return xxhash.xxh3_128_digest(np.array(distinct, np.uint64).tobytes())
+
+
+def _texts(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, text) of nodes (node, id, digest), written: of the docs (key, text) with the node's id one that has its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            on = [k for k in range(b.num_rows) if _digest(sorted(set(shingles(texts[k], shingle)))) == digests[k]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on, pa.int64())), pa.array([texts[k] for k in on], pa.binary())], ["node", "text"])
+
+    rows = nodes.join(docs, F.col("id") == F.col("key")).select("node", "digest", "text")
+    return written(rows.mapInArrow(run, "node long, text binary").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def jaccard(a: bytes | None, b: bytes | None, shingle: int) -> float:
+    """Of the shingle sets of two texts; texts without words are alike."""
+    x, y = set(shingles(a, shingle)), set(shingles(b, shingle))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts (node, text) have at least this Jaccard similarity, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, x, y = (b.column(k).to_pylist() for k in range(4))
+            on = [k for k in range(len(u)) if jaccard(x[k], y[k], shingle) >= similarity]
+            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in on], pa.int64()), pa.array([v[k] for k in on], pa.int64())], ["u", "v"])
+
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+    return written(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "verified")
+
+
 def _csa(a, b, c):
     u = a ^ b
     return (a & b) | (u & c), u ^ c
@@ -167,18 +227,29 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _compare(radius: int):
-    """Rows (grp, id, fp) sorted by grp -> spanning links (u, v) of ids."""
+def _compare(radius: int, apart: bool = False):
+    """Rows (grp, id, fp) sorted by grp -> spanning links (u, v) of ids. apart: rows also have a label (part); all links between labels."""
 
-    def emit(ids: np.ndarray, grp: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def emit(ids: np.ndarray, grp: np.ndarray, fp: np.ndarray, part: np.ndarray | None) -> pa.RecordBatch | None:
         edge = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True])
         size = np.diff(edge)
-        keep = np.repeat(size > 1, size)
+        many = size > 1
+        if apart:
+            many &= np.minimum.reduceat(part, edge[:-1]) != np.maximum.reduceat(part, edge[:-1])
+        keep = np.repeat(many, size)
         if not keep.any():
             return None
         ids, fp = ids[keep], fp[keep]
-        size = size[size > 1]
+        size = size[many]
         ends = np.repeat(np.cumsum(size), size)
+        if apart:
+            part, found = part[keep], []
+            for i, j in links(fp, ends, radius):
+                on = part[i] != part[j]
+                found.append(np.stack([np.minimum(ids[i[on]], ids[j[on]]), np.maximum(ids[i[on]], ids[j[on]])]))
+            if not found or not (pairs := np.unique(np.concatenate(found, axis=1), axis=1)).size:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
         root = forest(len(ids), links(fp, ends, radius))
         on = root != np.arange(len(ids))
         return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]])], ["u", "v"]) if on.any() else None
@@ -200,7 +271,8 @@ def _compare(radius: int):
             raw = done.column("fp").combine_chunks()
             width = len(raw[0].as_py())
             data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(cut, width)
-            return emit(done.column("id").to_numpy(), grp[:cut], data), rest[0] if rest else None
+            part = done.column("part").to_numpy() if apart else None
+            return emit(done.column("id").to_numpy(), grp[:cut], data, part), rest[0] if rest else None
 
         for b in batches:
             held.append(b)
@@ -216,17 +288,17 @@ def _compare(radius: int):
     return run
 
 
-def _grouped_links(keyed: DataFrame, radius: int, heavy: int = HEAVY) -> DataFrame:
-    """keyed: (k, id, fp), fp binary. Keys of over heavy rows become pairs of salted blocks; every pair of rows meets in one."""
-    spark = keyed.sparkSession
+def _grouped_links(keyed: DataFrame, radius: int, heavy: int = HEAVY, apart: bool = False) -> DataFrame:
+    """keyed: (k, id, fp), fp binary, and part where only links between parts are wanted, all of them. Keys of over heavy rows become pairs of salted blocks; every pair of rows meets in one."""
+    spark, more = keyed.sparkSession, ["part"] if apart else []
     crowded = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("k", F.ceil(F.col("n") / (heavy // 2)).cast("long").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     pairs = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(F.col("own"), j) * F.col("parts") + F.greatest(F.col("own"), j))
     )
-    spread = keyed.join(crowded, "k", "left").withColumn("own", own).select(F.explode(pairs).alias("pair"), "k", "id", "fp")
-    grouped = spread.select(F.xxhash64("k", "pair").alias("grp"), "id", "fp").repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp", "id")
-    return grouped.mapInArrow(_compare(radius), "u long, v long")
+    spread = keyed.join(crowded, "k", "left").withColumn("own", own).select(F.explode(pairs).alias("pair"), "k", "id", "fp", *more)
+    grouped = spread.select(F.xxhash64("k", "pair").alias("grp"), "id", "fp", *more).repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp", "id")
+    return grouped.mapInArrow(_compare(radius, apart), "u long, v long")
 
 
 def _components(prints: DataFrame, keyed_links) -> DataFrame:
@@ -262,35 +334,50 @@ def near(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id"
 
 
 def radius_of(similarity: float, width: int) -> int:
-    """Differing bits to expect between sets of equal size at a Jaccard similarity, and a third of a standard deviation more."""
+    """Differing bits to expect between sets of equal size at a Jaccard similarity, and three standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(width * share + math.sqrt(width * share * (1 - share)) / 3)
+    return round(width * share + 3 * math.sqrt(width * share * (1 - share)))
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 512, recall: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component_id: texts whose word shingles have about this Jaccard similarity or more are linked."""
-    workers_find_package(docs.sparkSession)
-    prints = written(fingerprints(docs, shingle, width, key, text), "prints")
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-    def find(nodes: DataFrame) -> DataFrame:
-        bits = max(12, math.ceil(math.log2(max(2, nodes.count()))) - 4)
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
-        chosen = [np.random.default_rng([SEED, t]).choice(width, bits, replace=False) for t in range(tables)]
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = 1 << np.arange(bits, dtype=np.int64)
-            for b in batches:
-                raw = b.column("fp").to_pylist()
-                if not raw:
-                    continue
-                x = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), width // 8), axis=1)
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, chosen[t]].astype(np.int64) @ weights + (t << 40)), b.column("id"), b.column("fp")], ["k", "id", "fp"])
-
-        return _grouped_links(nodes.select("id", "fp").mapInArrow(keyed, "k long, id long, fp binary"), radius_of(similarity, width))
-
-    return _components(prints, find).select(F.col("key").alias(key), "component_id")
+    """key, component_id: texts whose sets of word shingles have at least this Jaccard similarity are linked, each pair that has it with probability recall or more."""
+    spark = docs.sparkSession
+    workers_find_package(spark)
+    prints = written(_set_prints(docs, shingle, width, key, text), "prints")
+    share, radius = math.acos(2 * similarity / (1 + similarity)) / math.pi, radius_of(similarity, width)
+    within = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(radius + 1))
+    nodes = written(prints.groupBy("digest").agg(F.min("key").cast("long").alias("id"), F.first("fp").alias("fp")).where("id is not null").withColumn("node", F.xxhash64("digest")), "nodes")
+    bits = max(12, math.ceil(math.log2(max(2, nodes.count()))) - 4)
+    tables = math.ceil(math.log(1 - recall / within) / math.log(1 - (1 - share) ** bits))  # a pair must share a key and be within the radius
+    chosen = [np.random.default_rng([SEED, t]).choice(width, bits, replace=False) for t in range(tables)]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for b in batches:
+            raw = b.column("fp").to_pylist()
+            if not raw:
+                continue
+            x = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), width // 8), axis=1)
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, chosen[t]].astype(np.int64) @ weights + (t << 40)), *b.columns], ["k", *b.schema.names])
+
+    def candidates(rows: DataFrame, apart: bool) -> DataFrame:
+        found = rows.mapInArrow(keyed, "k long, id long, fp binary" + ", part long" * apart)
+        return written(_grouped_links(found, radius, apart=apart).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = nodes.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi")
+        whole = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+        return _verified(pairs, _texts(asked.select("node", "id", "digest"), whole, shingle), shingle, similarity)
+
+    rows = nodes.select(F.col("node").alias("id"), "fp")
+    first = verified(candidates(rows, False))
+    parts = connected_components(first, shared_dir(spark)).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    labelled = written(rows.join(parts, "id", "left").select("id", "fp", F.coalesce("part", "id").alias("part")), "parts")
+    found = connected_components(first.union(verified(candidates(labelled, True))), shared_dir(spark))
+    classes = written(nodes.join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component")), "classes")
+    named = classes.join(classes.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("digest", "component_id")
+    return prints.join(named, "digest", "left").select(F.col("key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
