@@ -127,15 +127,17 @@ def pagerank(nodes: DataFrame, weighted: DataFrame, d: float = 0.85, rounds: int
     return rank.select("id", "score")
 
 
-def personalised(nodes: DataFrame, weighted: DataFrame, seeds: DataFrame, d: float = 0.85, epsilon: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """(id, score): residuals over epsilon are pushed all at once; mass at dangling nodes is lost."""
+def personalised(nodes: DataFrame, weighted: DataFrame, seeds: DataFrame, d: float = 0.85, epsilon: float = 1e-6, rounds: int = 1000) -> DataFrame:
+    """(id, score): residuals over epsilon are pushed all at once until none is left; mass at dangling nodes is lost. Raises where `rounds` don't settle it."""
     e = cut(weighted.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
     k = max(1, seeds.count())
     state = cut(nodes.select("id").join(seeds.select("id").distinct().withColumn("r", F.lit(1.0 / k)), "id", "left").select("id", F.lit(0.0).alias("score"), F.coalesce("r", F.lit(0.0)).alias("r")))
-    for _ in range(rounds):
+    for k in range(rounds + 1):
         active = state.where(F.col("r") > epsilon)
         if active.isEmpty():
             break
+        if k == rounds:
+            raise ResourceExhausted(f"residuals over {epsilon} after {rounds} rounds")
         sent = active.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("nid")).agg(F.sum(F.col("r") * F.col("share") * d).alias("got"))
         state = cut(state.join(sent, F.col("id") == F.col("nid"), "left").select("id", (F.col("score") + F.when(F.col("r") > epsilon, F.col("r") * (1 - d)).otherwise(0.0)).alias("score"), (F.when(F.col("r") > epsilon, 0.0).otherwise(F.col("r")) + F.coalesce("got", F.lit(0.0))).alias("r")))
     return state.where("score > 0").select("id", "score")

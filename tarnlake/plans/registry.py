@@ -282,14 +282,14 @@ def _pagerank_sql() -> str:
 def pagerank_global(s, d):
     sym = T.symbols(s, d)
     e = graph.call_edges(T.refs(s, d), sym).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return graph.pagerank(sym, e, rounds=8, tolerance=0.0).select("id", F.round("score", 9).alias("score"))
+    return graph.pagerank(sym, e).select("id", F.round("score", 9).alias("score"))
 
 
 @query()
 def ppr_focus(s, d):
     sym = T.symbols(s, d)
     e = graph.call_edges(T.refs(s, d), sym).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return graph.personalised(sym, e, sym.where("path = 'Brand#11'").select("id"), rounds=12).select("id", F.round("score", 9).alias("score"))
+    return graph.personalised(sym, e, sym.where("path = 'Brand#11'").select("id")).select("id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {_REFS}{_EDGES}, g AS (SELECT dst AS id, count(*) AS deg FROM edges GROUP BY 1), c AS (SELECT symbols.id, name, coalesce(deg, 0) AS deg, ceil(strlen(name) / 4)::BIGINT AS cost FROM symbols LEFT JOIN g USING (id) WHERE parent_id IS NULL)

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from tarnlake.errors import ResourceExhausted
+from tarnlake.operators import graph
 from tarnlake.plans.registry import QUERIES
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
@@ -119,6 +121,14 @@ def test_ranks_use_all_references(spark, small):
     d, symbols, refs = small
     edges = plain_edges(symbols, refs)
     got = {r["id"]: r["score"] for r in QUERIES["pagerank_global"](spark, d).collect()}
-    assert got == pytest.approx(plain_ranks(symbols, edges, 8, 0.0), abs=2e-9)
-    want = plain_pushes(symbols, edges, {k for k, x in symbols.items() if x[1] == "Brand#11"}, 12)[0]
+    assert got == pytest.approx(plain_ranks(symbols, edges, 15, 1e-6), abs=2e-9)
+    want, left = plain_pushes(symbols, edges, {k for k, x in symbols.items() if x[1] == "Brand#11"}, 1000)
+    assert max(left.values()) <= 1e-6
     assert {r["id"]: r["score"] for r in QUERIES["ppr_focus"](spark, d).collect()} == pytest.approx({k: x for k, x in want.items() if x > 0}, abs=2e-9)
+
+
+def test_pushes_that_do_not_settle_raise(spark):
+    w = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, weight double")
+    n = spark.createDataFrame([(1,), (2,)], "id long")
+    with pytest.raises(ResourceExhausted):
+        graph.personalised(n, w, n.where("id = 1"), rounds=12)
