@@ -88,6 +88,14 @@ def position(place: Column, target: Column, slope: Column) -> Column:
     return F.when(a == 0, u).otherwise(2.0 * u / (b + F.sqrt(F.greatest(F.lit(0.0), b * b + 4.0 * a * u))))
 
 
+def placed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, slopes=SLOPES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """assign() with the training position of each copy (positions; none for no copy), range-sorted by the first; documents without copies come last."""
+    at = lambda e: position(F.col("place") + e * F.col("source_size") + F.col("size") / 2.0, F.col("target"), F.col("slope"))
+    every = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>"))
+    order = [F.get("positions", 0).asc_nulls_last(), F.col("key")]
+    return assign(docs, weights, cap, slopes, key, text, source).withColumn("positions", every).repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+
+
 def stream(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, slopes=SLOPES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row for each copy: key, source, size, epoch, position, range-sorted by position."""
     a = assign(docs, weights, cap, slopes, key, text, source).where("copies > 0")

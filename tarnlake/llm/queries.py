@@ -35,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ready(spark)
-    return mixing.assign(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    return mixing.placed(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "positions")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
