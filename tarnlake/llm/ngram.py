@@ -1,8 +1,7 @@
-"""Unbounded n-gram scoring on sharded suffix arrays that are refined by doubling.
+"""N-gram scoring on hashed contexts of 1, 2, 4, 8, ... tokens, without bound.
 
-The corpus' positions are ordered by what precedes them, read backwards: a suffix
-array of contexts. It is built as prefix doubling builds one, by the last 1, 2, 4,
-8, ... tokens. Groups of two or more training positions go on to the next length,
+No suffix array is built, and contexts of other lengths are not looked up: the
+longest match is found on that ladder, not to the token. Groups of two or more training positions go on to the next length,
 and so does a single one that a held-out position still matches; of any other
 single one all longer contexts occur once, and its score follows without them.
 So contexts grow without bound and the work shrinks. Each length's array is sharded by a hash of the context. A
