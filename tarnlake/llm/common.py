@@ -42,20 +42,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: what follows never recomputes what came before, even if executors are lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table: what follows never recomputes what came before, even if executors are lost.
 
-def drop_written(df: DataFrame) -> None:
-    """Removes a table that written() returned and nothing reads any more."""
+    The shuffle files of the statement go when the table is complete: whatever
+    comes later reads the table, so nothing can ask for them again.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    path = new_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tarnlake_folder = path
+    return back
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder under the shared one that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Removes tables that written() returned and nothing reads any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df._tarnlake_folder)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it (names are compared without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -12,8 +12,9 @@ links for each key, and links of all batches meet in connected components.
 Keys:
 * exact (``near``): 64 bits in 5 blocks; two fingerprints within 3 bits agree on
   two whole blocks at least, so the 10 pairs of blocks as keys lose no link.
-* sampled (``similar``): fingerprints of 512 bits; each table takes some bits as
-  key. The bits per key follow log2 of the row count and the number of tables
+* sampled (``similar``): fingerprints of 512 bits. The first SKETCH bits travel
+  with every key and are compared; each table takes some of the others as key.
+  The bits per key follow log2 of the row count and the number of tables
   follows from them, so that a pair at the similarity is found with probability
   ``recall`` at every size; none is capped. Prints there are of distinct shingles
   and only find candidates, within three standard deviations of what the
@@ -22,12 +23,16 @@ Keys:
   candidates between groups that these leave apart.
 
 Keys with over HEAVY rows are cut into salted blocks whose pairs are separate
-groups. Equal fingerprints (sampled: equal shingle sets) are joined before all this.
+groups; they are counted first, so only their rows are multiplied. Equal
+fingerprints (sampled: equal shingle sets) are joined before all this.
 
 Defined cases: null and empty texts have no words and the fingerprint zero, and
 are linked like others; texts under one shingle are one shingle; rows with null
-ids get a fingerprint, never name a component; repeated rows share theirs; an
-empty table gives no rows; other columns are ignored.
+ids get a fingerprint and link others, but never name a component (one without
+any id has the component null); repeated rows share theirs; an empty table gives
+no rows; other columns are ignored, whatever their names. ``keep_one``: of rows
+with one id each distinct shingle set counts for itself; of rows alike in both
+the one with the smallest text stays.
 """
 
 from __future__ import annotations
@@ -41,11 +46,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.components import connected_components
-from .common import shared_dir, shuffle_width, workers_find_package, written
+from .common import drop_written, fresh, shared_dir, shuffle_width, workers_find_package, written
 
-SEED, HEAVY, ROWS = 42, 8192, 16_384
+SEED, HEAVY, ROWS, SKETCH = 42, 8192, 16_384, 128
+MAX_BROADCAST = 100_000  #: heavy keys (24 bytes each) that are sent to all executors; beyond it they are joined
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -288,49 +295,50 @@ def _compare(radius: int, apart: bool = False):
     return run
 
 
-def _grouped_links(keyed: DataFrame, radius: int, heavy: int = HEAVY, apart: bool = False) -> DataFrame:
-    """keyed: (k, id, fp), fp binary, and part where only links between parts are wanted, all of them. Keys of over heavy rows become pairs of salted blocks; every pair of rows meets in one."""
+def _grouped_links(keyed: DataFrame, radius: int, heavy: int = HEAVY, apart: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """keyed: (k, id, fp), fp binary, and part where only links between parts are wanted, all of them.
+
+    sizes: (k, n), partial counts of the keys' rows, where they are known more
+    cheaply. Keys of over heavy rows become pairs of salted blocks; every pair
+    of rows meets in one.
+    """
     spark, more = keyed.sparkSession, ["part"] if apart else []
-    crowded = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("k", F.ceil(F.col("n") / (heavy // 2)).cast("long").alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    pairs = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(F.col("own"), j) * F.col("parts") + F.greatest(F.col("own"), j))
-    )
-    spread = keyed.join(crowded, "k", "left").withColumn("own", own).select(F.explode(pairs).alias("pair"), "k", "id", "fp", *more)
-    grouped = spread.select(F.xxhash64("k", "pair").alias("grp"), "id", "fp", *more).repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp", "id")
+    counted = (sizes if sizes is not None else keyed.select("k", F.lit(1).alias("n"))).groupBy("k").agg(F.sum("n").alias("n"))
+    crowded = written(counted.where(F.col("n") > heavy).select("k", F.ceil(F.col("n") / (heavy // 2)).cast("long").alias("parts")), "crowded")
+    n_heavy = crowded.count()
+    if n_heavy:
+        own = F.pmod(F.xxhash64("id"), F.col("parts"))
+        pairs = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(F.col("own"), j) * F.col("parts") + F.greatest(F.col("own"), j))
+        )
+        joined = keyed.join(F.broadcast(crowded) if n_heavy <= MAX_BROADCAST else crowded, "k", "left")
+        keyed = joined.withColumn("own", own).select(F.explode(pairs).alias("pair"), "k", "id", "fp", *more).withColumn("k", F.when(F.col("pair") < 0, F.col("k")).otherwise(F.xxhash64("k", "pair")))
+    grouped = keyed.select(F.col("k").alias("grp"), "id", "fp", *more).repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp", "id")
     return grouped.mapInArrow(_compare(radius, apart), "u long, v long")
 
 
-def _components(prints: DataFrame, keyed_links) -> DataFrame:
-    """prints: written (key, fp) -> (key, fp, component_id)."""
-    spark = prints.sparkSession
-    nodes = written(prints.groupBy("fp").agg(F.min("key").cast("long").alias("id")), "nodes")
-    edges = keyed_links(nodes.where("id is not null"))
-    found = connected_components(edges, shared_dir(spark)).withColumnsRenamed({"node": "id"})
-    classes = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(classes, "fp")
-
-
 def _field(c, high: int, bits: int):
     """bits of a long, from bit high (exclusive) down."""
     return F.shiftrightunsigned(c, high - bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
 def near(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id: fingerprints of 64 bits link within radius bits."""
-    workers_find_package(docs.sparkSession)
+    """key, fingerprint (16 hex digits), component_id: fingerprints of 64 bits link within radius bits. The fingerprint is its node's number, so rows without an id link too."""
+    spark = docs.sparkSession
+    workers_find_package(spark)
     prints = written(fingerprints(docs, shingle, 64, key, text), "prints")
     n_blocks = radius + 2
     sizes = [64 // n_blocks + (k < 64 % n_blocks) for k in range(n_blocks)]
     tops = [64 - sum(sizes[:k]) for k in range(n_blocks)]
-
-    def find(nodes: DataFrame) -> DataFrame:
-        number = F.conv(F.hex("fp"), 16, -10).cast("long")
-        fields = [_field(F.col("x"), t, s) for t, s in zip(tops, sizes)]
-        keys = [F.lit(i).cast("long") * (1 << 52) + F.shiftleft(fields[a], sizes[b]) + fields[b] for i, (a, b) in enumerate(combinations(range(n_blocks), 2))]
-        return _grouped_links(nodes.withColumn("x", number).select(F.explode(F.array(*keys)).alias("k"), "id", "fp"), radius)
-
-    return _components(prints, find).select(F.col("key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    fields = [_field(F.col("id"), t, s) for t, s in zip(tops, sizes)]
+    keys = [F.lit(i).cast("long") * (1 << 52) + F.shiftleft(fields[a], sizes[b]) + fields[b] for i, (a, b) in enumerate(combinations(range(n_blocks), 2))]
+    nodes = written(prints.groupBy("fp").agg(F.min("key").alias("least")).withColumn("id", F.conv(F.hex("fp"), 16, -10).cast("long")), "nodes")
+    pairs = written(_grouped_links(nodes.select(F.explode(F.array(*keys)).alias("k"), "id", "fp"), radius), "links")
+    found = connected_components(pairs, shared_dir(spark)).withColumnsRenamed({"node": "id"})
+    classes = written(nodes.join(found, "id", "left").select("fp", "least", F.coalesce("component", "id").alias("component")), "classes")
+    drop_written(pairs, nodes)
+    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(classes.join(named, "component").select("fp", "component_id"), "fp").select(F.col("key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def radius_of(similarity: float, width: int) -> int:
@@ -339,53 +347,93 @@ def radius_of(similarity: float, width: int) -> int:
     return round(width * share + 3 * math.sqrt(width * share * (1 - share)))
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 512, recall: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component_id: texts whose sets of word shingles have at least this Jaccard similarity are linked, each pair that has it with probability recall or more."""
+def _classes(docs: DataFrame, shingle: int, similarity: float, width: int, recall: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(prints: key and digest of each row, classes: digest, component), both written."""
     spark = docs.sparkSession
     workers_find_package(spark)
-    prints = written(_set_prints(docs, shingle, width, key, text), "prints")
-    share, radius = math.acos(2 * similarity / (1 + similarity)) / math.pi, radius_of(similarity, width)
-    within = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(radius + 1))
-    nodes = written(prints.groupBy("digest").agg(F.min("key").cast("long").alias("id"), F.first("fp").alias("fp")).where("id is not null").withColumn("node", F.xxhash64("digest")), "nodes")
+    whole = written(_set_prints(docs, shingle, width, key, text), "prints")
+    prints = whole.select("key", "digest")
+    share, radius = math.acos(2 * similarity / (1 + similarity)) / math.pi, radius_of(similarity, SKETCH)
+    within = sum(math.comb(SKETCH, k) * share**k * (1 - share) ** (SKETCH - k) for k in range(radius + 1))
+    nodes = written(whole.groupBy("digest").agg(F.min("key").alias("id"), F.first("fp").alias("fp")).withColumn("node", F.xxhash64("digest")), "nodes")
     bits = max(12, math.ceil(math.log2(max(2, nodes.count()))) - 4)
     tables = math.ceil(math.log(1 - recall / within) / math.log(1 - (1 - share) ** bits))  # a pair must share a key and be within the radius
-    chosen = [np.random.default_rng([SEED, t]).choice(width, bits, replace=False) for t in range(tables)]
+    chosen = [SKETCH + np.random.default_rng([SEED, t]).choice(width - SKETCH, bits, replace=False) for t in range(tables)]
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def keys_of(raw: list[bytes]) -> Iterator[np.ndarray]:
+        x = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), width // 8), axis=1)
+        for t in range(tables):
+            yield x[:, chosen[t]].astype(np.int64) @ weights + (t << 40)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             raw = b.column("fp").to_pylist()
-            if not raw:
-                continue
-            x = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), width // 8), axis=1)
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, chosen[t]].astype(np.int64) @ weights + (t << 40)), *b.columns], ["k", *b.schema.names])
+            rest = [pa.array([r[: SKETCH // 8] for r in raw], pa.binary()) if n == "fp" else b.column(n) for n in b.schema.names]
+            for k in keys_of(raw) if raw else ():
+                yield pa.RecordBatch.from_arrays([pa.array(k), *rest], ["k", *b.schema.names])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                k, n = np.unique(np.concatenate(list(keys_of(b.column(0).to_pylist()))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
     def candidates(rows: DataFrame, apart: bool) -> DataFrame:
         found = rows.mapInArrow(keyed, "k long, id long, fp binary" + ", part long" * apart)
-        return written(_grouped_links(found, radius, apart=apart).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+        sizes = rows.select("fp").mapInArrow(counted, "k long, n long")
+        return written(_grouped_links(found, radius, apart=apart, sizes=sizes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = nodes.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi")
-        whole = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-        return _verified(pairs, _texts(asked.select("node", "id", "digest"), whole, shingle), shingle, similarity)
+        texts = _texts(asked.select("node", "id", "digest"), docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), shingle)
+        out = _verified(pairs, texts, shingle, similarity)
+        drop_written(texts, pairs)
+        return out
 
     rows = nodes.select(F.col("node").alias("id"), "fp")
     first = verified(candidates(rows, False))
     parts = connected_components(first, shared_dir(spark)).select(F.col("node").alias("id"), F.col("component").alias("part"))
     labelled = written(rows.join(parts, "id", "left").select("id", "fp", F.coalesce("part", "id").alias("part")), "parts")
-    found = connected_components(first.union(verified(candidates(labelled, True))), shared_dir(spark))
+    second = verified(candidates(labelled, True))
+    found = connected_components(first.union(second), shared_dir(spark))
     classes = written(nodes.join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component")), "classes")
+    drop_written(labelled, first, second, nodes)
+    return prints, classes
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 512, recall: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, component_id: texts whose sets of word shingles have at least this Jaccard similarity are linked, each pair that has it with probability recall or more."""
+    prints, classes = _classes(docs, shingle, similarity, width, recall, key, text)
     named = classes.join(classes.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("digest", "component_id")
-    return prints.join(named, "digest", "left").select(F.col("key").alias(key), "component_id")
+    return prints.join(named, "digest").select(F.col("key").alias(key), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 512, recall: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the smallest id of their group, one for each group. Rows without an id stay."""
-    stay = written(similar(docs, shingle, similarity, key=key, text=text).where(F.col(key).isNotNull() & (F.col(key) == F.col("component_id"))).groupBy(F.col(key).alias("stay_id")).agg(F.count(F.lit(1)).alias("stay_n")), "stay")
-    kept = docs.join(stay.select("stay_id"), docs[key] == F.col("stay_id"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
-    again = stay.where("stay_n > 1")
+    prints, classes = _classes(docs, shingle, similarity, width, recall, key, text)
+    stay = written(classes.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "digest")).alias("s")).select("s.id", "s.digest"), "stay")
+    ident, digest = fresh(docs.columns, "stay_id"), fresh(docs.columns, "stay_digest")
+    again = written(prints.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias(ident)), "again")
+    kept = docs.join(stay.select(F.col("id").alias(ident)), F.col(key) == F.col(ident), "left_semi").unionByName(docs.where(F.col(key).isNull()))
     if again.isEmpty():
         return kept
-    once = docs.join(again.select("stay_id"), docs[key] == F.col("stay_id"), "left_semi").dropDuplicates([key])
-    return kept.join(again.select("stay_id"), kept[key] == F.col("stay_id"), "left_anti").unionByName(once)
+    # Ids that several rows have: their rows alone are hashed once more, and one row of each (id, shingle set) that stays is taken.
+    rows = docs.join(again, F.col(key) == F.col(ident), "left_semi")
+    at = docs.columns.index(text)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_digest(sorted(set(shingles(None if t is None else t.encode(), shingle)))) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, digest])
+
+    marked = rows.mapInArrow(digests, StructType([*rows.schema.fields, StructField(digest, BinaryType())]))
+    chosen = _one_each(marked, stay, key, text, digest, docs.columns)
+    return kept.join(again, F.col(key) == F.col(ident), "left_anti").unionByName(chosen)
+
+
+def _one_each(marked: DataFrame, stay: DataFrame, key: str, text: str, digest: str, columns: list[str]) -> DataFrame:
+    """Of the marked rows whose (id, digest) stays, for each the one with the smallest text."""
+    on = marked.join(stay.select(F.col("id").alias(key), F.col("digest").alias(digest)), [key, digest], "left_semi")
+    least = on.groupBy(key, digest).agg(F.min_by(F.struct(*[F.col(c) for c in columns]), F.struct(F.col(text))).alias("one"))
+    return least.select(*[F.col("one").getField(c).alias(c) for c in columns])
