@@ -26,7 +26,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, written
+from .common import fresh, lower_az, written
 
 SUPPORT, CONFIDENCE, MAX_LISTED = 0.005, 0.7, 1000
 _LABEL = "label="
@@ -97,15 +97,17 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, listed: list[Listed], labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """pages with host, path, rule, mined, confidence and verdict."""
+    """pages with host, path, rule, mined, confidence and verdict; columns of pages with these names give way."""
     if len(listed) > MAX_LISTED:
         raise ValueError(f"over {MAX_LISTED} listed rules")
-    mined = match(pages, mine(labelled, support, confidence)).select(F.col("url").alias("_url"), "mined", "confidence")
+    pages = pages.drop("host", "path", "rule", "mined", "confidence", "verdict")
+    asked = fresh(pages.columns, "asked_url")
+    mined = match(pages, mine(labelled, support, confidence)).select(F.col("url").alias(asked), "mined", "confidence")
     host, path = parts(F.col("url"))
     p = pages.withColumns({"host": host, "path": path})
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(listed, key=lambda r: (len(r.rule), r.rule)):  # the longest is asked first
         fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
         rule, said = F.when(fits, F.lit(r.rule)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(said)
-    p = p.join(mined, F.col("url") == F.col("_url"), "left").drop("_url")
+    p = p.join(mined, F.col("url") == F.col(asked), "left").drop(asked)
     return p.withColumns({"rule": rule, "verdict": F.coalesce(said, "mined", F.lit("allow"))})
