@@ -12,7 +12,18 @@ VENDORED = ("/node_modules/", "/target/", "/dist/", "/build/", "/.next/", "/.ven
 GENERATED = ("Code generated by", "@generated", "DO NOT EDIT", "AUTO-GENERATED", "This file is automatically generated")
 SECRET_NAMES = (".env", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", ".netrc")
 SECRET_EXT = ("pem", "key", "p12", "pfx", "jks")
-SECRETS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-ant-[A-Za-z0-9_-]{36,}|sk-[A-Za-z0-9]{37,}|xox[abprs]-[A-Za-z0-9-]{35,}|(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
+_KEY_KINDS = ("RSA ", "", "EC ", "DSA ", "OPENSSH ")
+#: A token ends at white space, a quote, a backtick or a comma.
+_TOKEN = r"""[^ \t\n\x{B}\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"'`,]"""
+#: Prefixes and the fewest characters that a token must have after them.
+_PREFIXES = (("AKIA", 16), ("aws_secret_access_key", 0), ("ghp_", 36), ("gho_", 36), ("ghs_", 36), ("github_pat_", 29), ("sk-", 37), ("xoxb-", 35), ("xoxp-", 35), ("xapp-", 35))
+SECRETS = "|".join([*(f"(?s:-----BEGIN {k}PRIVATE KEY-----.*?-----END {k}PRIVATE KEY-----)" for k in _KEY_KINDS), *(f"{p}{_TOKEN}{{{n},}}" for p, n in _PREFIXES)])
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def lower_ascii(c: Column) -> Column:
+    """A-Z alone become lower case, as in a caseless ASCII collation."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def extension(path: Column) -> Column:
@@ -40,8 +51,9 @@ def sensitive(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda c: F.exists(names, lambda n: (c == n) | c.startswith(F.concat(n, F.lit(".")))) | extension(c).isin(*SECRET_EXT))
 
 
-def redact(text: Column, more: str = "") -> Column:
-    return F.regexp_replace(text, SECRETS + (f"|{more}" if more else ""), "***REDACTED***")
+def redact(text: Column, more: str = "", allow: str = "") -> Column:
+    """Private-key blocks and tokens with a secret's prefix; what starts with the pattern `allow` is left."""
+    return F.regexp_replace(text, (f"(?!{allow})(?:" if allow else "(?:") + SECRETS + (f"|{more}" if more else "") + ")", "***REDACTED***")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -78,3 +90,32 @@ def glob_regex(glob: str) -> str:
     """`*` and `?` stop at a slash, `**` crosses it."""
     out = re.escape(glob).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
     return f"^{out}$"
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Ignore patterns of a configuration: globs, prefixes at a slash or dot, and bare names of a path component."""
+    path = F.regexp_replace(path, r"^(\./)+", "")
+    out = F.lit(False)
+    for p in (x.strip().replace("\\", "/") for x in patterns):
+        if not p:
+            continue
+        bare = re.sub(r"^(\./)+", "", p).strip("/")
+        globs = [p] if any(c in p for c in "*?[]{}") else [p, p.strip("/")] if "/" in p else [p, f"**/{p.strip('/')}/**"]
+        out = out | path.rlike("|".join(glob_regex(g) for g in globs))
+        if bare:
+            out = out | (path == bare) | path.startswith(bare + "/") | path.startswith(bare + ".") | F.array_contains(F.split(path, "/"), bare)
+    return out
+
+
+def capped_tokens(text: Column, cap: int = 32 * 1024) -> Column:
+    """estimate_tokens of the first `cap` bytes, cut between characters, scaled to the whole."""
+    raw, n = F.encode(text, "UTF-8"), F.octet_length(text).cast("long")
+    later = lambda k: F.hex(F.substring(raw, cap - k + 1, 1)).rlike("^[89AB]")
+    cut = F.lit(cap) - F.when(~later(0), 0).when(~later(1), 1).when(~later(2), 2).otherwise(3)
+    return F.when(n <= cap, estimate_tokens(text)).otherwise(F.floor(F.ceil(cut / 4) * n / cut).cast("long"))
+
+
+def embedding_text(lang: Column, kind: Column, qualified: Column, signature: Column, doc: Column, body: Column) -> Column:
+    """`lang kind name(signature) doc`, a new line, and the body; absent parts leave nothing."""
+    sig = F.coalesce(F.concat(F.lit("("), signature, F.lit(")")), F.lit(""))
+    return F.concat(lang, F.lit(" "), kind, F.lit(" "), qualified, sig, F.coalesce(F.concat(F.lit(" "), doc), F.lit("")), F.lit("\n"), body)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NotFound, ResourceExhausted
+from ..functions.text import estimate_tokens
 from ..session import cut, shared_folder
 from .components import connected_components
 
@@ -13,7 +14,10 @@ TIER_CAP, VISIT_CAP, MAX_HOPS, MAX_DEPTH = 50, 50_000, 16, 6
 
 
 def call_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs resolved by name: (src, dst), multi-edges kept, self-loops and unknown sources dropped."""
+    """refs resolved by name: (src, dst), multi-edges kept, self-loops and unknown sources dropped.
+
+    A hot name is a skewed key of an inner join, which adaptive execution splits on the side of the references.
+    """
     s = symbols.select(F.col("id").alias("dst"), "name")
     known = symbols.select(F.col("id").alias("src"))
     r = refs.select(F.col("src_symbol_id").alias("src"), F.col("ident").alias("name")).join(known, "src", "left_semi")
@@ -35,16 +39,16 @@ def tiers(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False,
     """(seed, depth, id): breadth-first layers for every seed at once; a layer keeps its `cap` smallest ids, which alone go on."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
     e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
-    front = seen
+    front = seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
     for d in range(1, min(depth, MAX_DEPTH) + 1):
         new = front.join(e, F.col("id") == F.col("a")).select("seed", F.col("b").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("seed").orderBy("id"))
         front = cut(new.withColumn("rn", rank).where(F.col("rn") <= cap).select("seed", "id", F.lit(d).alias("depth")))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-        if seen.groupBy("seed").count().where(F.col("count") > visits).limit(1).count():
+        seen = seen.unionByName(front)  # at most MAX_DEPTH + 1 written tables, none written twice
+        if cap * d <= visits:  # a layer has at most cap rows a seed
+            if d < depth and front.isEmpty():
+                break
+        elif (most := seen.groupBy("seed").count().agg(F.max("count")).first()[0]) and most > visits:
             raise ResourceExhausted(f"over {visits} nodes visited")
     return seen.where("depth > 0").select("seed", "depth", "id")
 
@@ -85,10 +89,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def subsystems(symbols: DataFrame, comps: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
-    """component, size, hub (highest degree, then smallest id) and the most common directory."""
+    """component, size, hub (of the top-level members the one of highest degree, then smallest id; without any the first member) and the most common directory."""
     d = degrees(edges).select("id", (F.col("indeg") + F.col("outdeg")).alias("deg"))
-    m = symbols.select("id", "name", "path").join(comps, "id").join(d, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-    hub = m.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max_by("name", F.struct("deg", (-F.col("id")).alias("x"))).alias("hub"))
+    m = symbols.select("id", "name", "path", F.col("parent_id").isNull().alias("top")).join(comps, "id").join(d, "id", "left").withColumn("deg", F.when(F.col("top"), F.coalesce("deg", F.lit(0))).otherwise(0))
+    hub = m.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max_by("name", F.struct("top", "deg", (-F.col("id")).alias("x"))).alias("hub"))
     dirs = m.groupBy("component", F.array_join(F.slice(F.split("path", "/"), 1, 3), "/").alias("dir")).count()
     best = dirs.groupBy("component").agg(F.min_by("dir", F.struct((-F.col("count")).alias("c"), "dir")).alias("dir"))
     return hub.join(best, "component").orderBy(F.col("size").desc(), "component").limit(limit)
@@ -108,19 +112,37 @@ def rank_edges(refs: DataFrame, symbols: DataFrame, test_ids: DataFrame | None =
     return e.groupBy("src", "dst").agg(F.sum("w").alias("weight"))
 
 
-def pagerank(nodes: DataFrame, weighted: DataFrame, d: float = 0.85, rounds: int = 15, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
-    """(id, score): dangling mass is spread evenly. One join and one grouped sum a round, written every few rounds."""
-    total = F.sum("weight").over(Window.partitionBy("src"))
-    e = cut(weighted.withColumn("share", F.col("weight") / total).select("src", "dst", "share"))
+def _shares(weighted: DataFrame) -> DataFrame:
+    """(src, dst, share): weights over the sum of their source, which is added up before the shuffle; a hot source is no window of one task."""
+    total = weighted.groupBy("src").agg(F.sum("weight").alias("total"))
+    return weighted.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+
+
+def neighbours(edges: DataFrame, of: DataFrame, reverse: bool = False) -> DataFrame:
+    """(id, neighbour, n): adjacent ids with the number of edges between."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return edges.join(of.select(F.col("id").alias(a)), a, "left_semi").groupBy(F.col(a).alias("id"), F.col(b).alias("neighbour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def members(symbols: DataFrame, comps: DataFrame, edges: DataFrame, component: int, budget: int) -> DataFrame:
+    """(id, deg, spent) of a component's members by degree, as long as their lines (one token more each) fit the budget."""
+    d = degrees(edges).select("id", (F.col("indeg") + F.col("outdeg")).alias("deg"))
+    m = symbols.join(comps.where(F.col("component") == component), "id").join(d, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    line = F.concat("path", F.lit(":"), F.col("line_start").cast("string"), F.lit(" "), "kind", F.lit(" "), "qualified_name")
+    return under_budget(m, estimate_tokens(line) + 1, [F.col("deg").desc(), F.col("id")], budget).select("id", "deg", "spent")
+
+
+def pagerank(nodes: DataFrame, weighted: DataFrame, d: float = 0.85, rounds: int = 15, tolerance: float = 1e-6) -> DataFrame:
+    """(id, score): dangling mass is spread evenly. A round is one join and one grouped sum, written, and one aggregate over what was written."""
+    e = cut(_shares(weighted))
     n = nodes.count()
     base = cut(nodes.select("id").join(e.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("score")))
-    rank = base
-    for k in range(1, rounds + 1):
-        lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("score")))).first()[0] or 0.0
+    rank, lost = base, base.agg(F.sum(F.when(F.col("dangling"), F.col("score")))).first()[0] or 0.0
+    for _ in range(rounds):
         got = rank.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("nid")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         new = rank.join(got, F.col("id") == F.col("nid"), "left").select("id", "dangling", F.col("score").alias("old"), (F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0))).alias("score"))
         new = cut(new)
-        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+        moved, lost = (x or 0.0 for x in new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("dangling"), F.col("score")))).first())
         rank = new.drop("old")
         if moved < tolerance:
             break
@@ -129,7 +151,7 @@ def pagerank(nodes: DataFrame, weighted: DataFrame, d: float = 0.85, rounds: int
 
 def personalised(nodes: DataFrame, weighted: DataFrame, seeds: DataFrame, d: float = 0.85, epsilon: float = 1e-6, rounds: int = 1000) -> DataFrame:
     """(id, score): residuals over epsilon are pushed all at once until none is left; mass at dangling nodes is lost. Raises where `rounds` don't settle it."""
-    e = cut(weighted.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
+    e = cut(_shares(weighted))
     k = max(1, seeds.count())
     state = cut(nodes.select("id").join(seeds.select("id").distinct().withColumn("r", F.lit(1.0 / k)), "id", "left").select("id", F.lit(0.0).alias("score"), F.coalesce("r", F.lit(0.0)).alias("r")))
     for k in range(rounds + 1):

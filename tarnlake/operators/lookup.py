@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lower_ascii
 from ..session import cut
 
 
 def exact(symbols: DataFrame, name: str, limit: int | None = None) -> DataFrame:
-    hits = symbols.where(F.lower("name") == name.lower())
+    hits = symbols.where(lower_ascii(F.col("name")) == lower_ascii(F.lit(name)))
     return hits if limit is None else hits.orderBy("path", "byte_start", "id").limit(limit)
 
 
 def resolve(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted, id, tier): all rows of the first tier that has any; exact and caseless qualified name, then name."""
-    w = wanted.select("wanted", F.lower("wanted").alias("lw")).distinct()
+    w = wanted.select("wanted", lower_ascii(F.col("wanted")).alias("lw")).distinct()
     s = symbols.select("id", "name", "qualified_name")
-    by_q, by_n = s.withColumn("lw", F.lower("qualified_name")), s.withColumn("lw", F.lower("name"))
+    by_q, by_n = s.withColumn("lw", lower_ascii(F.col("qualified_name"))), s.withColumn("lw", lower_ascii(F.col("name")))
     q = by_q.join(w, "lw").select("wanted", "id", F.when(F.col("qualified_name") == F.col("wanted"), 1).otherwise(2).alias("tier"))
     n = by_n.join(w, "lw").select("wanted", "id", F.when(F.col("name") == F.col("wanted"), 3).otherwise(4).alias("tier"))
     every = q.unionByName(n)

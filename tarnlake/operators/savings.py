@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TIER_RANGE = {"free": 0, "pro": 30, "team": 90, "enterprise": 365}
 
 
 def saved(response: Column, *baselines: Column) -> Column:
@@ -59,15 +58,20 @@ def credit_once(calls: DataFrame, keys: list[str], ts: str = "ts", hours: int =
 
 
 def sample_one_in(calls: DataFrame, order: str, key: str, n: int = 64) -> DataFrame:
-    """The 1st, n+1st, ... call of each key by order."""
-    return calls.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("seq") % n == 1).drop("seq")
+    """The 1st, n+1st, ... call of each key by order. Calls are numbered within hours and hours by running counts, so that a key is never sorted in one task."""
+    hour = F.date_trunc("hour", F.col(order))
+    ahead = calls.groupBy(F.col(key).alias("k"), hour.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = ahead.withColumn("ahead", F.sum("n").over(Window.partitionBy("k").orderBy("h")) - F.col("n")).drop("n")
+    own = calls.withColumn("h", hour).withColumn("own", F.row_number().over(Window.partitionBy(key, "h").orderBy(order)))
+    return own.join(ahead, (F.col(key) == F.col("k")) & (own["h"] == ahead["h"])).where((F.col("ahead") + F.col("own")) % n == 1).select(*[own[c] for c in calls.columns])
 
 
 def nth(rows: DataFrame, group: str, value: str, place: Column, name: str) -> DataFrame:
-    """The value at a 1-based place (an expression over n) of each sorted group."""
+    """The value at a 1-based place (an expression over n) of each sorted group. Equal values are counted before anything is sorted."""
+    c = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(group)
-    r = rows.select(group, value, F.row_number().over(w.orderBy(value)).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.where(F.col("rn") == place).select(group, F.col(value).alias(name))
+    r = c.select(group, value, "c", F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
+    return r.where((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(group, F.col(value).alias(name))
 
 
 def sessions(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
@@ -85,3 +89,10 @@ def expiry_sweep(keys: DataFrame, now: str, limit: int = 500) -> DataFrame:
     gone = paid.where(F.col("expires") < F.lit(now).cast("timestamp")).orderBy("expires", "key_id").limit(limit)
     live = paid.where(F.col("expires") >= F.lit(now).cast("timestamp")).select("user_id").distinct()
     return gone.select("user_id").distinct().join(live, "user_id", "left_anti")
+
+
+def loc_estimate(contents: DataFrame, sample: int = 200, path: str = "path", text: str = "text") -> DataFrame:
+    """(files, estimated_loc): newlines of the first `sample` files by path, scaled to all files. The sample is the feature."""
+    newlines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    first = contents.select(path, newlines.alias("n")).orderBy(path).limit(sample).agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"))
+    return contents.agg(F.count(F.lit(1)).alias("files")).crossJoin(first).select("files", F.coalesce(F.floor(F.col("s") / F.col("c") * F.col("files")), F.lit(0)).cast("long").alias("estimated_loc"))

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import classify, estimate_tokens
+from ..errors import InvalidParams
+from ..functions.text import BLANKS, classify, estimate_tokens
+
+
+MAX_TERMS, KNN_BLOCK = 256, 8192  #: query terms that are filtered by a list; queries (of some hundred bytes) that are sent to all executors at once
+
+
+def _is_pattern(contents: DataFrame, pattern: str) -> bool:
+    try:
+        contents.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # the JVM's PatternSyntaxException arrives as a Py4J error
+        return False
+    return True
 
 
 def lines(contents: DataFrame, path: str = "path", text: str = "text", where: Column | None = None) -> DataFrame:
     """(path, line, content): 1-based lines; a last newline opens no line. Rows without a chance are dropped before they are split."""
     c = contents if where is None else contents.where(where)
     one = F.regexp_replace(F.col(text), r"\r?\n\z", "")
-    return c.select(F.col(path).alias("path"), F.posexplode(F.split(one, r"\r?\n")).alias("k", "raw")).select("path", (F.col("k") + 1).alias("line"), F.rtrim("raw").alias("content"))
+    return c.select(F.col(path).alias("path"), F.posexplode(F.split(one, r"\r?\n")).alias("k", "raw")).select("path", (F.col("k") + 1).alias("line"), F.rtrim("raw", F.lit(BLANKS)).alias("content"))
 
 
 def literal(contents: DataFrame, needle: str, limit: int | None = None, **cols: str) -> DataFrame:
@@ -22,20 +36,32 @@ def literal(contents: DataFrame, needle: str, limit: int | None = None, **cols:
 
 
 def regex(contents: DataFrame, pattern: str, limit: int | None = None, **cols: str) -> DataFrame:
-    """Matching lines with the 1-based column of the first match."""
-    hits = lines(contents, **cols).where(F.col("content").rlike(pattern))
+    """Matching lines with the 1-based column of the first match. Texts without any match are not split, where no anchor ties the pattern to a line. A pattern that is none raises InvalidParams."""
+    if not _is_pattern(contents, pattern):
+        raise InvalidParams(f"no regular expression: {pattern}")
+    whole = None if re.search(r"[$^]|\\[AzZG]|\(\?", pattern) else F.col(cols.get("text", "text")).rlike(pattern)
+    hits = lines(contents, where=whole, **cols).where(F.col("content").rlike(pattern))
     hits = hits.withColumn("column", F.length(F.substring_index(F.regexp_replace("content", f"(?s)({pattern}).*$", "\x00"), "\x00", 1)) + 1)
     return hits if limit is None else hits.orderBy("path", "line").limit(limit)
 
 
 def multi_find(contents: DataFrame, patterns: list[str], per_pattern: int | None = None, **cols: str) -> DataFrame:
-    """Hits of each pattern on its own; one pass over the lines with the patterns as a literal array."""
-    found = F.filter(F.array(*[F.lit(p) for p in patterns if p]), lambda p: F.contains(F.col("content"), p))
-    hits = lines(contents, **cols).select("path", "line", "content", F.explode(found).alias("pattern"))
-    hits = hits.withColumn("column", F.octet_length(F.expr("substring_index(content, pattern, 1)")) + 1)
+    """Every occurrence of each pattern on its own, with its 1-based column in bytes; one pass over the lines with the patterns as a literal array."""
+    patterns = list(dict.fromkeys(p for p in patterns if p))
+    if not patterns:
+        return lines(contents, **cols).where("false").select("path", "line", "content", F.lit("").alias("pattern"), F.lit(0).alias("column"))
+    text, some = F.col(cols.get("text", "text")), F.lit(False)
+    for p in patterns:
+        some = some | text.contains(p)
+    found = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.col("content"), p))
+    hits = lines(contents, where=some, **cols).select("path", "line", "content", F.explode(found).alias("pattern"))
+    # What stands between the occurrences gives their places: pieces and patterns before them, in bytes.
+    pieces = F.transform(F.split("content", F.concat(F.lit(r"\Q"), F.col("pattern"), F.lit(r"\E"))), lambda x: F.octet_length(x))
+    ends = F.transform(pieces, lambda _, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * F.octet_length("pattern") + 1)
+    hits = hits.withColumn("column", F.explode(F.slice(ends, 1, F.size(pieces) - 1)))
     if per_pattern is None:
         return hits
-    rank = F.row_number().over(Window.partitionBy("pattern").orderBy("path", "line"))
+    rank = F.row_number().over(Window.partitionBy("pattern").orderBy("path", "line", "column"))
     return hits.withColumn("rn", rank).where(F.col("rn") <= per_pattern).drop("rn")
 
 
@@ -62,11 +88,17 @@ def trigram(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], key: str = "id", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, id, score, rank): per-field BM25, summed. docs: key and fields of term arrays; queries: (query, term)."""
     terms = queries.select("query", F.lower("term").alias("term")).distinct()
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(MAX_TERMS + 1).collect()]  # a stated query set
+    few = len(wanted) <= MAX_TERMS
     every = None
     for name, col in fields.items():
         p = docs.select(F.col(key).alias("id"), col.alias("terms")).withColumn("len", F.size("terms").cast("double"))
         stats = p.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
-        post = p.select("id", "len", F.explode("terms").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+        asked = F.filter("terms", lambda t: t.isin(wanted)) if few else F.col("terms")  # other words never become rows
+        post = p.select("id", "len", F.explode(asked).alias("term"))
+        if not few:
+            post = post.join(terms.select("term").distinct(), "term", "left_semi")
+        post = post.groupBy("term", "id", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
         df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         s = post.join(df, "term").crossJoin(F.broadcast(stats))
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -87,8 +119,16 @@ def rrf(lists: list[DataFrame], key: str, k: int = 20, c: int = 60) -> DataFrame
     return every.groupBy("key").agg(F.round(F.sum("s"), 9).alias("score")).orderBy(F.col("score").desc(), "key").limit(k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(query, id, distance, rank) by L2. queries: (query, q), a stated set that is broadcast in blocks by the caller."""
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", embedding: str = "embedding", split: bool = True) -> DataFrame:
+    """(query, id, distance, rank) by L2. queries: (query, q), a stated set; it meets the vectors in blocks of at most KNN_BLOCK queries, each block one pass."""
+    n = queries.count() if split else 0
+    if n > KNN_BLOCK:
+        numbered = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(-(-n // (KNN_BLOCK // 2)))))
+        every = None
+        for b in range(-(-n // (KNN_BLOCK // 2))):
+            part = knn(vectors, numbered.where(F.col("block") == b).drop("block"), k, key, embedding, False)
+            every = part if every is None else every.unionByName(part)
+        return every
     d = F.sqrt(F.aggregate(F.zip_with(F.col(embedding), F.col("q"), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
     pairs = vectors.select(F.col(key).alias("id"), embedding).crossJoin(F.broadcast(queries)).select("query", "id", F.round(d, 6).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
