@@ -1,8 +1,8 @@
 """WARC records inside ZIP archives, written once and read by range.
 
-Writer: every partition becomes one ZIP with two stored members, the records
-(archive/data.warc) and their index (indexes/index.cdx: offset and length of
-each). Reader: finds the end record, follows the ZIP64 locator where there is
+Writer: every partition becomes ZIPs of bounded size with two stored members, the
+records (archive/data.warc) and their index (indexes/index.cdx: offset and length
+of each). A slice of an index is what one task reads. Reader: finds the end record, follows the ZIP64 locator where there is
 one, parses the central directory with its ZIP64 extra fields, locates stored
 members by their local headers, reads the index and then each record by its
 range. Nothing is extracted.
@@ -31,6 +31,8 @@ from .common import new_path, workers_find_package, written
 
 RECORDS, INDEX = "archive/data.warc", "indexes/index.cdx"
 LEAST = 100  #: smallest payload, in bytes, that may become a revisit
+ARCHIVE, SLICE = 1 << 30, 64 << 20  #: bytes of records after which an archive is closed, and that one reading task takes at a time
+MAX_BROADCAST = 1_000_000  #: repeated digests (40 bytes each) that are sent to all executors
 
 
 class ZipReader:
@@ -136,49 +138,65 @@ def parse(raw: bytes) -> dict:
 
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html with digest, record_type and refers_to. Only digests that occur twice are joined."""
+    """page_id, url, html with digest, record_type and refers_to.
+
+    Roles are learnt from ids and digests alone. Digests that occur twice are
+    sent to all executors while they are at most MAX_BROADCAST, so that no page
+    is shuffled; beyond that pages long enough to be a revisit are joined with
+    them, and shorter ones still go by.
+    """
     body = F.coalesce("html", F.lit(""))
     narrow = pages.select("page_id", "url", body.alias("html"), F.sha2(body, 256).alias("digest"))
-    twice = (
-        narrow.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
+    long_enough = F.octet_length("html") >= least
+    twice = written(
+        narrow.where(long_enough).groupBy(F.unhex("digest").alias("twice")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 1) & F.col("first_id").isNotNull()).select("twice", "first_id"), "twice",
     )
     again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return narrow.join(twice, "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")
-    )
+    role = ["page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")]
+    if twice.count() <= MAX_BROADCAST:
+        return narrow.join(F.broadcast(twice), F.unhex("digest") == F.col("twice"), "left").select(*role)
+    short = narrow.where(~long_enough).withColumn("first_id", F.lit(None).cast(dict(pages.dtypes)["page_id"]))
+    return narrow.where(long_enough).join(twice, F.unhex("digest") == F.col("twice"), "left").select(*role).unionByName(short.select(*role))
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
-    """(archive, records) of the ZIPs written; a retried task writes another file, and only the listed ones count."""
+def write_archives(pages: DataFrame, folder: str, least: int = LEAST, most: int = ARCHIVE, slice_bytes: int = SLICE) -> DataFrame:
+    """(archive, at, length, records): the slices of the indexes of the ZIPs written. An archive is closed after `most` bytes of records. A retried task writes other files, and only the listed ones count."""
     workers_find_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name, n, at, index = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.zip", 0, 0, []
-        first = next(batches, None)
-        if first is None:
-            return
-        fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{name}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED) as z:
-            with z.open(RECORDS, "w", force_zip64=True) as out:
-                b: pa.RecordBatch | None = first
-                while b is not None:
-                    for page_id, url, page, digest, kind, refers in zip(*(b.column(c) for c in ("page_id", "url", "html", "digest", "record_type", "refers_to"))):
+        rows = (r for b in batches for r in zip(*(b.column(c) for c in ("page_id", "url", "html", "digest", "record_type", "refers_to"))))
+        number, row = 0, next(rows, None)
+        if row is not None:
+            fs.create_dir(base, recursive=True)
+        while row is not None:
+            name, at, slices, index = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.zip", 0, [], []
+            line_at = begun = line_begun = n = 0
+            with fs.open_output_stream(f"{base}/{name}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED) as z:
+                with z.open(RECORDS, "w", force_zip64=True) as out:
+                    while row is not None and at < most:
+                        page_id, url, page, digest, kind, refers = row
                         raw = record(page_id.as_py(), url.as_py(), page.as_py().encode(), digest.as_py(), kind.as_py(), refers.as_py())
                         out.write(raw)
-                        index.append(b"%d %d\n" % (at, len(raw)))
-                        at, n = at + len(raw), n + 1
-                    b = next(batches, None)
-            z.writestr(INDEX, b"".join(index))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "records"])
+                        line = b"%d %d\n" % (at, len(raw))
+                        index.append(line)
+                        at, line_at, n, row = at + len(raw), line_at + len(line), n + 1, next(rows, None)
+                        if at - begun >= slice_bytes:
+                            slices.append((line_begun, line_at - line_begun, n))
+                            begun, line_begun, n = at, line_at, 0
+                if n:
+                    slices.append((line_begun, line_at - line_begun, n))
+                z.writestr(INDEX, b"".join(index))
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(slices)), *(pa.array([x[k] for x in slices], pa.int64()) for k in range(3))], ["archive", "at", "length", "records"])
 
-    return written(roles(pages, least).mapInArrow(run, "archive string, records long"), "archives")
+    return written(roles(pages, least).mapInArrow(run, "archive string, at long, length long, records long"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint", payloads: bool = False) -> DataFrame:
-    """One row for each record of the listed archives, each read by its range."""
+    """One row for each record of the listed index slices, each read by its range."""
     workers_find_package(archives.sparkSession)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * payloads
@@ -186,14 +204,14 @@ def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint", pay
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for name in b.column("archive").to_pylist():
+            for name, at_line, line_bytes in zip(*(b.column(c).to_pylist() for c in ("archive", "at", "length"))):
                 path = f"{base}/{name}"
                 with fs.open_input_file(path) as f:
                     z = ZipReader(f, fs.get_file_info(path).size)
                     begin, size = z.data_offset(RECORDS), z.members[RECORDS][1]
                     rows: list[dict] = []
                     held = 0
-                    for line in z.read(INDEX).splitlines():
+                    for line in z.read(INDEX, at_line, line_bytes).splitlines():
                         at, length = map(int, line.split())
                         if at + length > size:
                             raise ValueError("the index points outside the member")
@@ -207,13 +225,13 @@ def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint", pay
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads
     n = max(1, archives.count())
     return (
-        archives.repartition(min(n, 8 * archives.sparkSession.sparkContext.defaultParallelism), "archive").select("archive").mapInArrow(run, schema)
+        archives.select("archive", "at", "length").repartition(min(n, 8 * archives.sparkSession.sparkContext.defaultParallelism), "archive", "at").mapInArrow(run, schema)
         .withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
     )
 
 
-def round_trip(pages: DataFrame, least: int = LEAST, payloads: bool = False) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = LEAST, payloads: bool = False, most: int = ARCHIVE, slice_bytes: int = SLICE) -> DataFrame:
     """Writes pages (page_id, url, html) into archives of the shared folder and reads every record back."""
     folder = new_path(pages.sparkSession, "warc")
-    archives = write_archives(pages, folder, least)
+    archives = write_archives(pages, folder, least, most, slice_bytes)
     return read_archives(archives, folder, dict(pages.dtypes)["page_id"], payloads)
