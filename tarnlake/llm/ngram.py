@@ -1,27 +1,41 @@
-"""N-gram scoring on hashed contexts of 1, 2, 4, 8, ... tokens, without bound.
-
-No suffix array is built, and contexts of other lengths are not looked up: the
-longest match is found on that ladder, not to the token. Groups of two or more training positions go on to the next length,
-and so does a single one that a held-out position still matches; of any other
-single one all longer contexts occur once, and its score follows without them.
-So contexts grow without bound and the work shrinks. Each length's array is sharded by a hash of the context. A
-shard sorts its (context, next token) pairs, binary-searches every query, sums
-training counts over the ranges found and sends back both counts and whether a
-held-out position has the context.
-
-Model: p_0(w) = (c(w) + 1) / (N + V + 1), and for each length L of the ladder
-whose context occurs in training p_L(w) = (c(context, w) + mu_L * p_(L/2)(w)) /
-(c(context) + mu_L). The last L is the longest matching context of the ladder;
-contexts begin at the document's start mark at the earliest. Each p_L sums to 1.
+"""Unbounded n-gram scoring by sharded suffix arrays.
+
+Model: p_0(w) = (c(w) + 1) / (N + V + 1); for contexts of 1 and 2 tokens, where
+they occur in training, p_L(w) = (c(context, w) + mu_L * p_(L-1)(w)) /
+(c(context) + mu_L); and where the longest context that occurs in training has
+L > 2 tokens, p(w) = (c(context, w) + mu_L * p_2(w)) / (c(context) + mu_L) for
+that L, whatever it is. Contexts begin at the document's start mark at the
+earliest. All counts are of training tokens, and each of the p sums to 1.
+
+Short contexts: c(context) is the count of an n-gram that ends one token before,
+so all that is needed are counts of 2- and 3-grams. Chunks add them up first and
+send them to shards by their hash: an n-gram that a third of all positions share
+is one row a chunk, and no shard is larger than another.
+
+Long contexts of held-out documents: a round takes positions whose last R tokens
+are known to match (R = 3, 16, 64, 256, ...) to R' = 16, 64, 256, ... tokens. A
+shard gets, as token ids, the text before those positions and before the training
+positions that some held-out position matches so far. It sorts the training ones
+by their tokens read backwards (a suffix array, cut into pieces of bounded size),
+binary-searches each held-out position in every piece, compares tokens with both
+neighbours, takes the longest match over all pieces, and sums the counts of that
+context and of its next token over the pieces. What matches all R' tokens goes to
+the next round. Positions go to a shard by an anchor: of the blocks of tokens
+within their last R the one of least hash, which whoever shares these tokens
+picks too. Neighbouring positions mostly have one anchor and share one stretch of
+text, so a position sends about a dozen tokens at every length.
+
+Long contexts of training documents: the longest context of a position is all of
+its document so far, which occurs there. Its counts are counts of prefixes; a
+document sends its prefixes up to 4, 16, 64, ... words while another has them.
 
 Layout: a map task turns its documents into chunks of about CHUNK tokens, files in
 the shared folder under a new name for each attempt; only chunks listed in the
 written manifest count. A round is one job: results of the round before go to
-their chunks, chunks send unique pairs with their training counts to shards,
-shards answer in the order of sending, and the answers are written. A context
-that a third of all positions share is one pair for each next token and chunk. A
-chunk's state of a round is rewritten alike if a task runs again. Words are
-known by XXH64, contexts by 64-bit rolling hashes.
+their chunks, chunks send to shards, shards answer in the order of sending, and
+the answers are written; shuffle files of finished rounds go. A chunk's state of
+a round is written alike if a task runs again. Words are known by XXH64, n-grams
+and repeated stretches of a chunk by 64-bit rolling hashes.
 
 Defined cases: null and empty texts are one end token; a null id counts as an
 empty one in the split and is passed on; repeated rows are each scored and each
@@ -44,14 +58,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, new_path, shuffle_width, workers_find_package, written
+from .common import drop_folder, drop_written, new_path, shuffle_width, workers_find_package, written
 
 CHUNK, SHARD = 2_000_000, 2_000_000
 FOLDS, HELD = 7, 2
-MU = {1: 500.0, 2: 20.0, 4: 1.0}  #: longer contexts: MU_LONG
-MU_LONG = 0.25
+MU = {1: 500.0, 2: 20.0}
+PIECE = 48 << 20  #: bytes of suffixes that a piece of a shard's suffix array has at most
+FIRST, KNOWN, STEP = 3, 4, 4  #: tokens that match before the first round, words of prefixes that are counted before it, growth of both
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _BASE = 0x9E3779B97F4A7C15
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def mu_of(length: np.ndarray) -> np.ndarray:
+    """Weight of the shorter contexts for contexts of three tokens and more: the longer, the less."""
+    return np.maximum(0.25, 16.0 / np.asarray(length, np.float64) ** 2)
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -104,12 +125,6 @@ def _load(folder: str, name: str, only: tuple[str, ...] = ()) -> dict[str, np.nd
         return unpack(f.read(), only)
 
 
-def _remove(folder: str) -> None:
-    fs, base = pafs.FileSystem.from_uri(folder)
-    if fs.get_file_info(base).type == pafs.FileType.Directory:
-        fs.delete_dir(base)
-
-
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -120,12 +135,12 @@ _SENT_SQL, _BACK_SQL = "shard long, chunk string, blob binary", "chunk string, s
 
 
 def _tokenise(folder: str, size: int):
-    """Documents (key, text, held) -> chunk files; yields (chunk, tokens)."""
+    """Documents (key, text, held) -> chunk files; yields (chunk, tokens, training documents, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        schema = pa.schema([("chunk", pa.string()), ("n", pa.int64()), ("keys", pa.binary())])
+        schema = pa.schema([("chunk", pa.string()), ("n", pa.int64()), ("trained", pa.int64()), ("keys", pa.binary())])
         codes: dict[bytes, int] = {}
         parts: list[np.ndarray] = []
         lengths: list[int] = []
@@ -149,7 +164,7 @@ def _tokenise(folder: str, size: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("key", kind)])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([pa.array(keys, kind)], ["key"]))
-            out = _rows(schema, [(chunk, n, sink.getvalue().to_pybytes())])
+            out = _rows(schema, [(chunk, n, len(held) - sum(held), sink.getvalue().to_pybytes())])
             codes, parts, lengths, held, keys, n = {}, [], [], [], [], 0
             return out
 
@@ -183,7 +198,14 @@ class _Chunk:
         self.train = ~np.repeat(self.held, self.lengths)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         start = np.cumsum(self.lengths) - self.lengths
+        self.start = start
         self.before = np.arange(len(self.words)) - np.repeat(start, self.lengths)  # words of the document before this one
+        self.sums = self.rolling()
+
+    def name(self, ids: np.ndarray) -> None:
+        """sequence: ids of all tokens with start marks."""
+        self.sequence = np.zeros(len(self.words) + len(self.lengths), np.int64)
+        self.sequence[self.at(np.arange(len(self.words)))] = ids[self.words] + 1
 
     def rolling(self) -> tuple[np.ndarray, np.ndarray]:
         """Running sums over tokens with start marks of hash * base^place, and base^-place."""
@@ -197,27 +219,178 @@ class _Chunk:
             back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x) - 1, np.uint64(inverse))])
             return np.r_[np.uint64(0), np.cumsum(x * power, dtype=np.uint64)], back
 
-    def contexts(self, length: int, of: np.ndarray) -> np.ndarray:
-        """Hashes of the `length` tokens (start mark included) before the positions `of`; all of them must be there."""
-        total, back = self.rolling()
-        past = of + self.doc[of] + 1
+    def hashes_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hashes of the tokens low..high (exclusive) of the sequence with start marks."""
+        total, back = self.sums
         with np.errstate(over="ignore"):
-            return _mix((total[past] - total[past - length]) * back[past - length] + np.uint64(length))
-
-
-def _pairs(context: np.ndarray, following: np.ndarray, weight: np.ndarray, shards: int):
-    """Unique (context, next) in the order of shard, context, next: (shard bounds, context, next, training count, whether held-out positions are among it, where each position went)."""
-    order = np.lexsort((following, context))
-    c, f = context[order], following[order]
-    first = np.r_[True, (c[1:] != c[:-1]) | (f[1:] != f[:-1])] if len(c) else np.zeros(0, bool)
-    number = np.cumsum(first) - 1
-    count = np.bincount(number, weight[order], minlength=0).astype(np.int64) if len(c) else np.zeros(0, np.int64)
-    held = np.bincount(number, minlength=0) > count if len(c) else np.zeros(0, bool)
-    went = np.empty(len(c), np.int64)
-    went[order] = number
-    c, f = c[first], f[first]
-    bounds = np.searchsorted(c, (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64))
-    return np.r_[0, bounds, len(c)].astype(np.int64), c, f, count, held, went
+            return _mix((total[high] - total[low]) * back[low] + (high - low).astype(np.uint64))
+
+    def at(self, positions: np.ndarray) -> np.ndarray:
+        """Places of positions in the sequence with start marks."""
+        return positions + self.doc[positions] + 1
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, hashes) of the n-grams that end there, start marks included."""
+        of = np.flatnonzero(self.before + 2 >= n)
+        end = self.at(of) + 1
+        return of, self.hashes_of(end - n, end)
+
+    def prefixes(self, docs: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of docs, words, hash) of the prefixes with low < words <= high that the documents have."""
+        many = np.maximum(np.minimum(self.lengths[docs], high) - low, 0)
+        row = np.repeat(np.arange(len(docs)), many)
+        words = low + 1 + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        mark = (self.start[docs] + docs)[row]
+        return row, words, self.hashes_of(mark, mark + words + 1)
+
+
+def _tally(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, their weight, whether one of no weight is among them, where each key went)."""
+    known, went = np.unique(keys, return_inverse=True)
+    count = np.bincount(went, weight, minlength=len(known)).astype(np.int64)
+    return known, count, np.bincount(went, minlength=len(known)) > count, went
+
+
+def _send_tally(known: np.ndarray, count: np.ndarray, held: np.ndarray, shards: int, chunk: str, base: int = 0) -> Iterator[pa.RecordBatch]:
+    bounds = np.searchsorted(_spread(known, shards), np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)):
+        k = slice(bounds[s], bounds[s + 1])
+        yield _rows(_SENT, [(base + int(s), chunk, pack(context=known[k], count=count[k].astype(np.uint32), held=held[k].astype(np.uint8)))])
+
+
+class _Stretches:
+    """The stretches of text that a chunk sends in a round, each once, in the order of their shards; entry: where each position's answer is."""
+
+    def __init__(self, c: _Chunk, length: int, depth: int, positions: np.ndarray, shards: int):
+        place = c.at(positions)
+        window = 1 if length < 4 else length // 2
+        block = length - window + 1
+        ends = np.arange(block, len(c.sequence) + 1)
+        least = np.full(len(c.sequence) + 1, _ONES)
+        least[block:] = c.hashes_of(ends - block, ends)
+        best, step = np.arange(len(least)), 1
+        while step < window:  # of equal hashes the rightmost
+            left, own = best[:-step], best[step:]
+            best = np.r_[best[:step], np.where(least[left] < least[own], left, own)]
+            step *= 2
+        anchor = best[place]
+        new = np.r_[True, anchor[1:] != anchor[:-1]] if len(anchor) else np.zeros(0, bool)
+        of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        last = np.r_[first[1:], len(anchor)][: len(first)] - 1
+        docs = c.doc[positions[first]]
+        low, high = np.maximum(c.start[docs] + docs, place[first] - depth), place[last] + 1
+        offset = place - low[of]
+        with np.errstate(over="ignore"):
+            pattern = np.add.reduceat(_mix(offset.astype(np.uint64) * np.uint64(_BASE)), first) if len(first) else np.zeros(0, np.uint64)
+            alike = _mix(c.hashes_of(low, high) * np.uint64(3) + pattern + c.held[docs].astype(np.uint64))
+        shard = _spread(least[anchor[first]], shards)
+        order = np.lexsort((alike, shard))
+        differs = np.r_[True, (alike[order][1:] != alike[order][:-1]) | (shard[order][1:] != shard[order][:-1])] if len(order) else np.zeros(0, bool)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(differs) - 1
+        one = order[differs]  # of each kind of stretch the first
+        self.c, self.low, self.high, self.first, self.last, self.offset, self.docs = c, low[one], high[one], first[one], last[one], offset, docs[one]
+        self.weight = np.bincount(number, minlength=len(one))
+        entries = self.last - self.first + 1
+        begin = np.cumsum(entries) - entries
+        self.entry = begin[number[of]] + np.arange(len(positions)) - first[of] if len(positions) else np.zeros(0, np.int64)
+        self.bounds = np.searchsorted(shard[one], np.arange(shards + 1))
+
+    def send(self, chunk: str) -> Iterator[pa.RecordBatch]:
+        for s in np.flatnonzero(np.diff(self.bounds)):
+            k = slice(self.bounds[s], self.bounds[s + 1])
+            low, size, many = self.low[k], self.high[k] - self.low[k], self.last[k] - self.first[k] + 1
+            text = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            at = np.repeat(self.first[k] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            blob = pack(tokens=self.c.sequence[text].astype(np.int64), size=size.astype(np.uint32), entries=many.astype(np.uint32), offset=self.offset[at].astype(np.uint32), weight=self.weight[k].astype(np.uint32), held=self.c.held[self.docs[k]].astype(np.uint8))
+            yield _rows(_SENT, [(int(s), chunk, blob)])
+
+
+class SuffixArray:
+    """Contexts of training positions, read backwards, sorted; each with its next token and its weight."""
+
+    def __init__(self, rows: np.ndarray, following: np.ndarray, weight: np.ndarray):
+        order = np.argsort(_bytes(rows), kind="stable")
+        self.rows, n = rows[order], len(rows)
+        self.keys = _bytes(self.rows)
+        self.sums = np.r_[0, np.cumsum(weight[order])]
+        where = following[order].astype(np.int64) * (n + 1) + np.arange(n)
+        by = np.argsort(where, kind="stable")
+        self.where, self.n = where[by], n
+        self.next_sums = np.r_[0, np.cumsum(weight[order][by])]
+
+    def longest(self, asked: np.ndarray) -> np.ndarray:
+        """For each context the tokens that it shares with the nearest of its two neighbours."""
+        at = np.searchsorted(self.keys, _bytes(asked))
+        return np.maximum(_common(asked, self.rows[np.maximum(at - 1, 0)]), _common(asked, self.rows[np.minimum(at, self.n - 1)]))
+
+    def counts(self, asked: np.ndarray, length: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of the contexts with the first `length` tokens of each, and of those with the next token."""
+        beyond = np.arange(asked.shape[1]) >= length[:, None]
+        low = np.searchsorted(self.keys, _bytes(np.where(beyond, np.uint32(0), asked)), "left")
+        high = np.searchsorted(self.keys, _bytes(np.where(beyond, np.uint32(0xFFFFFFFF), asked)), "right")
+        base = following.astype(np.int64) * (self.n + 1)
+        first, past = np.searchsorted(self.where, base + low), np.searchsorted(self.where, base + high)
+        return self.sums[high] - self.sums[low], self.next_sums[past] - self.next_sums[first]
+
+
+def _bytes(rows: np.ndarray) -> np.ndarray:
+    """Rows of numbers as strings of bytes in the same order."""
+    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}")[:, 0]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def _search(sent: list[tuple[str, dict]], depth: int, piece: int) -> Iterator[tuple[str, dict, int]]:
+    """(chunk, its answers in the order of sending, positions among them that match all `depth` tokens)."""
+    tokens = np.concatenate([d["tokens"] for _, d in sent])
+    size, many = np.concatenate([d["size"] for _, d in sent]).astype(np.int64), np.concatenate([d["entries"] for _, d in sent]).astype(np.int64)
+    offset = np.concatenate([d["offset"] for _, d in sent]).astype(np.int64)
+    at = np.repeat(np.cumsum(size) - size, many) + offset
+    weight = np.repeat(np.concatenate([d["weight"] for _, d in sent]), many).astype(np.int64)
+    held = np.repeat(np.concatenate([d["held"] for _, d in sent]), many).astype(bool)
+    codes = np.unique(tokens, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)  # 0: before the start mark
+    back = np.arange(1, depth + 1)
+
+    def suffixes(k: np.ndarray) -> np.ndarray:
+        return np.where(back <= offset[k][:, None], codes[np.maximum(at[k][:, None] - back, 0)], np.uint32(0))
+
+    per = max(1, piece // (4 * depth))
+    asked, known = np.flatnonzero(held), np.flatnonzero(~held)
+    pieces = [known[k : k + per] for k in range(0, len(known), per)]
+    blocks = [slice(k, k + per) for k in range(0, len(asked), per)]
+    length, whole, own = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+    arrays = (SuffixArray(suffixes(p), codes[at[p]], weight[p]) for p in pieces)
+    arrays = list(arrays) if len(pieces) == 1 else arrays
+    for a in arrays:
+        for b in blocks:
+            length[b] = np.maximum(length[b], a.longest(suffixes(asked[b])))
+    length = np.minimum(length, offset[asked])
+    arrays = arrays if len(pieces) == 1 else (SuffixArray(suffixes(p), codes[at[p]], weight[p]) for p in pieces)
+    for a in arrays:
+        for b in blocks:
+            w, o = a.counts(suffixes(asked[b]), length[b], codes[at[asked[b]]])
+            whole[b] += w
+            own[b] += o
+    answer = np.zeros(len(at), np.int64)
+    answer[asked] = length
+    on = asked[length == depth]
+    for k in range(0, len(on), per):  # training positions that a held-out one matches to the end
+        wanted = np.sort(_bytes(suffixes(on[k : k + per])))
+        for p in pieces:
+            mine = _bytes(suffixes(p))
+            answer[p] |= wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+    every_whole, every_own = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    every_whole[asked], every_own[asked] = whole, own
+    begin = 0
+    for chunk, d in sent:
+        k = slice(begin, begin + len(d["offset"]))
+        begin = k.stop
+        on = int((answer[k][held[k]] == depth).sum() + answer[k][~held[k]].sum())
+        yield chunk, {"answer": answer[k], "whole": every_whole[k], "own": every_own[k]}, on
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple]:
@@ -233,114 +406,190 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple]:
         yield held[0][by], held
 
 
-def _shard(first_round: bool):
-    """All pairs of a shard -> for each chunk the counts in its order of sending."""
+def _shard(round_: int, depth: int, piece: int):
+    """What chunks sent to a shard -> the answers for each chunk in its order of sending. Shards under 0 and those of round 0 and 1 add up counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches, "shard"):
             sent = [(r["chunk"], unpack(r["blob"])) for r in rows]
             rows.clear()
-            context, count = np.concatenate([d["context"] for _, d in sent]), np.concatenate([d["count"] for _, d in sent]).astype(np.int64)
-            if first_round:
-                order = np.argsort(context, kind="stable")
-                known = context[order]
-                edge = np.flatnonzero(np.r_[True, known[1:] != known[:-1]])
-                total, known = np.add.reduceat(count[order], edge), known[edge]
-                rank = np.empty(len(known), np.int64)
-                rank[np.lexsort((known, -total))] = np.arange(len(known))
-                for chunk, d in sent:
-                    at = np.searchsorted(known, d["context"])
-                    yield _rows(_BACK, [(chunk, shard, int((total > 0).sum()), int(total.sum()), pack(rank=rank[at], count=total[at]))])
+            if shard >= 0 and round_ > 1:
+                for chunk, answer, on in _search(sent, depth, piece):
+                    yield _rows(_BACK, [(chunk, shard, on, 0, pack(**answer))])
                 continue
-            following = np.concatenate([d["next"] for _, d in sent])
-            held = np.unique(context[np.concatenate([d["held"] for _, d in sent]).astype(bool)])
-            train = count > 0
-            order = np.lexsort((following[train], context[train]))
-            c, f = context[train][order], following[train][order]  # this shard's piece of the array
-            sums = np.r_[0, np.cumsum(count[train][order])]
-            pair_edge = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (f[1:] != f[:-1])]) if len(c) else np.zeros(0, np.int64)
-            pc, pf, psum = c[pair_edge], f[pair_edge], np.r_[sums[pair_edge], sums[-1]]
+            context, count = np.concatenate([d["context"] for _, d in sent]), np.concatenate([d["count"] for _, d in sent]).astype(np.int64)
+            known, went = np.unique(context, return_inverse=True)
+            total = np.bincount(went, count, minlength=len(known)).astype(np.int64)
+            held = np.bincount(went, np.concatenate([d["held"] for _, d in sent]), minlength=len(known)) > 0
+            rank = np.empty(len(known), np.int64)
+            rank[np.lexsort((known, -total))] = np.arange(len(known))
+            begin = 0
             for chunk, d in sent:
-                lo, hi = np.searchsorted(pc, d["context"], "left"), np.searchsorted(pc, d["context"], "right")
-                whole = psum[hi] - psum[lo]
-                at, end = lo.copy(), hi.copy()
-                while (more := at < end).any():  # binary search of the next token inside each context's range
-                    mid = (at + end) // 2
-                    less = more & (pf[np.minimum(mid, len(pf) - 1)] < d["next"])
-                    at, end = np.where(less, mid + 1, at), np.where(more & ~less, mid, end)
-                hit = (at < hi) & (pf[np.minimum(at, max(0, len(pf) - 1))] == d["next"]) if len(pf) else np.zeros(len(at), bool)
-                own = np.where(hit, psum[np.minimum(at + 1, len(psum) - 1)] - psum[at], 0)
-                met = np.searchsorted(held, d["context"], "right") > np.searchsorted(held, d["context"], "left")
-                yield _rows(_BACK, [(chunk, shard, 0, 0, pack(whole=whole, own=own, met=met.astype(np.uint8)))])
+                k = went[begin : begin + len(d["context"])]
+                begin += len(k)
+                extra = {"rank": rank[k]} if round_ == 0 else {"held": held[k].astype(np.uint8)}
+                yield _rows(_BACK, [(chunk, shard, int((total > 0).sum()), int(total.sum()), pack(count=total[k], **extra))])
 
     return run
 
 
-def _take(rows: list[dict], names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """A chunk's answers, shard after shard."""
-    got = [unpack(r["blob"]) for r in sorted((r for r in rows if r["blob"] is not None), key=lambda r: r["shard"])]
+def _take(rows: list[dict], names: tuple[str, ...], tallies: bool) -> dict[str, np.ndarray]:
+    """A chunk's answers, shard after shard; those of the shards under 0 or the others."""
+    got = [unpack(r["blob"], names) for r in sorted((r for r in rows if r["blob"] is not None and (r["shard"] < 0) == tallies), key=lambda r: r["shard"])]
     return {k: np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in names}
 
 
-def _round(folder: str, length: int, shards: int, tokens: int, types: int, last: bool, longest: int | None):
-    """Answers of the length before (0: of the words) -> state files and, unless it is the last round, what is sent for `length`."""
-    before = length // 2
+def _ratio(own: np.ndarray, whole: np.ndarray, shorter: np.ndarray, mu) -> np.ndarray:
+    return np.where(whole > 0, (own + mu * shorter) / (whole + mu), shorter)
+
+
+class _State:
+    """What of a chunk is not scored yet: held-out positions and training positions of the next search, documents whose prefixes others have, and the sums so far."""
+
+    def __init__(self, c: _Chunk, done: np.ndarray, asked: np.ndarray, p: np.ndarray, known: np.ndarray, alive: np.ndarray, count: np.ndarray, rest: np.ndarray):
+        self.c, self.done, self.asked, self.p, self.known, self.alive, self.count, self.rest = c, done, asked, p, known, alive, count, rest
+
+    def save(self, folder: str, chunk: str) -> None:
+        u = np.uint64
+        _save(folder, chunk, pack(done=self.done, asked=self.asked.astype(u), p=self.p, known=self.known.astype(u), alive=self.alive.astype(u), count=self.count, rest=self.rest))
+
+    @staticmethod
+    def load(c: _Chunk, folder: str, chunk: str) -> _State:
+        d = _load(folder, chunk)
+        return _State(c, d["done"], d["asked"].astype(np.int64), d["p"], d["known"].astype(np.int64), d["alive"].astype(np.int64), d["count"], d["rest"])
+
+    def add(self, positions: np.ndarray, p: np.ndarray) -> None:
+        self.done = self.done + np.bincount(self.c.doc[positions], np.log10(p), len(self.c.lengths))
+
+    def searched(self, sent: _Stretches, positions: np.ndarray, got: dict, depth: int) -> None:
+        """Takes the answers of a search: scores what has its longest match and keeps what matches to the end."""
+        place = np.searchsorted(positions, self.asked)
+        entry = sent.entry[place]
+        length, whole, own = got["answer"][entry], got["whole"][entry], got["own"][entry]
+        on = (length == depth) & (self.c.before[self.asked] + 1 > depth)
+        self.add(self.asked[~on], _ratio(own, whole, self.p, mu_of(np.maximum(length, 1)))[~on])
+        self.asked, self.p = self.asked[on], self.p[on]
+        met = got["answer"][sent.entry[np.searchsorted(positions, self.known)]] > 0
+        self.known = self.known[met & (self.c.before[self.known] + 1 > depth)]
+
+    def prefixed(self, row: np.ndarray, count: np.ndarray, low: int, high: int) -> None:
+        """Takes counts of the prefixes of over low and up to high words: scores the positions before them, and the rest of documents whose prefix nobody shares any more."""
+        c, docs = self.c, self.alive
+        lengths = c.lengths[docs]
+        many = np.minimum(lengths, high) - low
+        begin = np.cumsum(many) - many
+        whole = np.empty(len(count))  # of position i (words before it): the prefix of i words
+        whole[1:], whole[begin] = count[:-1], self.count
+        position = np.repeat(c.start[docs] + low - begin, many) + np.arange(len(count))
+        left = lengths - low
+        of_rest = np.cumsum(left) - left
+        index = np.repeat(of_rest - begin, many) + np.arange(len(count))
+        self.add(position, _ratio(count, whole, self.rest[index], mu_of(c.before[position] + 1)))
+        end = count[begin + many - 1] if len(docs) else np.zeros(0, np.int64)
+        tail = np.maximum(lengths - high, 0)
+        doc_of = np.repeat(np.arange(len(docs)), tail)
+        index = np.repeat(of_rest + many - (np.cumsum(tail) - tail), tail) + np.arange(tail.sum())
+        position = np.repeat(c.start[docs] + high - (np.cumsum(tail) - tail), tail) + np.arange(tail.sum())
+        rest = self.rest[index]
+        alone = (end <= 1)[doc_of]
+        self.add(position[alone], _ratio(1.0, np.ones(alone.sum()), rest[alone], mu_of(c.before[position[alone]] + 1)))
+        stay = (end > 1) & (tail > 0)
+        self.alive, self.count, self.rest = docs[stay], end[stay], rest[~alone]
+
+
+def _first_state(c: _Chunk, count: np.ndarray, tokens: int, types: int, train_docs: int, got: dict) -> _State:
+    """Counts of words, 2-grams, 3-grams and the first prefixes -> p_2 of all positions and what is left to do."""
+    n, at = len(c.words), 0
+    grams: dict[int, np.ndarray] = {}
+    met = np.zeros(n, bool)
+    went = _first_keys(c)[2]
+    for g in (2, 3):
+        of = np.flatnonzero(c.before + 2 >= g)
+        k = went[at : at + len(of)]
+        at += len(of)
+        grams[g] = np.zeros(n, np.int64)
+        grams[g][of] = got["count"][k]
+        if g == 3:
+            met[of] = got["held"][k] > 0
+    uni = (count + 1) / (tokens + types + 1)
+    whole = np.r_[0, count[c.words[:-1]]] if n else np.zeros(0, np.int64)
+    whole[c.start] = train_docs
+    p = _ratio(grams[2], whole, uni[c.words], MU[1])
+    p = _ratio(grams[3], np.where(c.before > 0, np.r_[0, grams[2][:-1]], 0), p, MU[2])
+    longer = c.before + 1 >= FIRST
+    matched = longer & (np.r_[0, grams[3][:-1]] > 0)
+    asked = np.flatnonzero(matched & ~c.train)
+    known = np.flatnonzero(longer & c.train & np.r_[False, met[:-1]])
+    state = _State(c, np.zeros(len(c.lengths)), asked, p[asked], known, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    final = np.flatnonzero(~matched & ~c.train | c.train & ~longer)
+    state.add(final, p[final])
+    # Training documents: the prefix of two words is the 3-gram of position 1.
+    state.alive = np.flatnonzero(~c.held & (c.lengths > FIRST - 1))
+    state.count = grams[3][c.start[state.alive] + 1]
+    left = c.lengths[state.alive] - (FIRST - 1)
+    state.rest = p[np.repeat(c.start[state.alive] + FIRST - 1 - (np.cumsum(left) - left), left) + np.arange(left.sum())]
+    row = c.prefixes(state.alive, FIRST - 1, KNOWN)[0]
+    state.prefixed(row, got["count"][went[at:]], FIRST - 1, KNOWN)
+    return state
+
+
+def _first_keys(c: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """2-grams, 3-grams and the first prefixes of training documents, added up."""
+    two, three = c.grams(2), c.grams(3)
+    docs = np.flatnonzero(~c.held & (c.lengths > FIRST - 1))
+    first = c.prefixes(docs, FIRST - 1, KNOWN)
+    known, count, held, went = _tally(np.concatenate([two[1], three[1], first[2]]), np.concatenate([c.train[two[0]], c.train[three[0]], np.ones(len(first[2]))]).astype(np.float64))
+    return known, count, went, held
+
+
+def _round(folder: str, round_: int, shards: int, wide: int, tokens: int, types: int, train_docs: int, search_shards: tuple[int, int]):
+    """Answers of the round before -> state files, and what is sent in this one. Round 1 sends n-grams, later ones stretches and prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _groups(batches, "chunk"):
             c = _Chunk(folder, chunk)
-            if before == 0:
-                got = _take(rows, ("rank", "count"))
-                shard = _spread(np.r_[c.hashes, _END], shards)
-                order = np.argsort(np.r_[c.hashes, _END], kind="stable")
+            if round_ == 1:
+                got = _take(rows, ("rank", "count"), False)
+                hashes = np.r_[c.hashes, _END]
+                shard, order = _spread(hashes, shards), np.argsort(hashes, kind="stable")
                 ids, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
                 ids[order], count[order] = got["rank"] * shards + shard[order], got["count"]
                 uni = (count + 1) / (tokens + types + 1)
                 score = np.bincount(c.doc, np.log10(uni)[c.words], len(c.lengths))
                 _save(folder, f"{chunk}.base", pack(ids=ids, count=count, known=np.bincount(c.doc, count[c.words] > 0, len(c.lengths)).astype(np.int64), base=score))
-                active, p, done = np.arange(len(c.words)), uni[c.words], np.zeros(len(c.lengths))
-            else:
-                d = _load(folder, f"{chunk}.base", ("ids", "count"))
-                ids = d["ids"]
-                if before == 1:  # the first state is the unigrams'
-                    active, p, done = np.arange(len(c.words)), ((d["count"] + 1) / (tokens + types + 1))[c.words], np.zeros(len(c.lengths))
-                else:
-                    state = _load(f"{folder}/{before}", chunk)
-                    active, p, done = state["active"].astype(np.int64), state["p"].astype(np.float64), state["done"]
-                asked = c.before[active] + 1 >= before
-                got = _take(rows, ("whole", "own", "met"))
-                at = active[asked]
-                went = _pairs(c.contexts(before, at), ids[c.words[at]], c.train[at], shards)[5]
-                whole, own, met = got["whole"][went], got["own"][went], got["met"][went] > 0
-                mu = MU.get(before, MU_LONG)
-                p[asked] = np.where(whole > 0, (own + mu * p[asked]) / (whole + mu), p[asked])
-                go_on = np.zeros(len(active), bool)
-                go_on[asked] = np.where(c.train[at], (whole > 1) | met, whole > 0)
-                alone = np.zeros(len(active), bool)
-                alone[asked] = c.train[at] & (whole == 1) & ~met
-                longer = length
-                while (more := alone & (c.before[active] + 1 >= longer)).any() and (longest is None or longer <= longest):
-                    mu = MU.get(longer, MU_LONG)
-                    p[more] = (1 + mu * p[more]) / (1 + mu)
-                    longer *= 2
-                done = done + np.bincount(c.doc[active[~go_on]], np.log10(p[~go_on]), len(c.lengths))
-                active, p = active[go_on], p[go_on]
-            if last:
-                done = done + np.bincount(c.doc[active], np.log10(p), len(c.lengths))
-                active, p = active[:0], p[:0]
-            if length > 1 or last:  # between rounds a probability is kept in single precision
-                _save(f"{folder}/{length}", chunk, pack(active=active.astype(np.uint64), p=p.astype(np.float32), done=done))
-            at = active[c.before[active] + 1 >= length]
-            if last or not len(at):
+                known, count, _, held = _first_keys(c)
+                yield from _send_tally(known, count, held, shards, chunk)
                 continue
-            bounds, context, following, count, held, _ = _pairs(c.contexts(length, at), ids[c.words[at]], c.train[at], shards)
-            for s in np.flatnonzero(np.diff(bounds)):
-                k = slice(bounds[s], bounds[s + 1])
-                yield _rows(_SENT, [(int(s), chunk, pack(context=context[k], next=following[k], count=count[k].astype(np.uint32), held=held[k].astype(np.uint8)))])
+            base = _load(folder, f"{chunk}.base", ("ids", "count"))
+            c.name(base["ids"])
+            if round_ == 2:
+                state = _first_state(c, base["count"], tokens, types, train_docs, _take(rows, ("count", "held"), False))
+            else:
+                state = _State.load(c, f"{folder}/{round_ - 1}", chunk)
+                length, depth, low, high = _lengths(round_ - 1)
+                positions = np.sort(np.concatenate([state.asked, state.known]))
+                state.searched(_Stretches(c, length, depth, positions, search_shards[0]), positions, _take(rows, ("answer", "whole", "own"), False), depth)
+                row, _, keys = c.prefixes(state.alive, low, high)
+                state.prefixed(row, _take(rows, ("count",), True)["count"][_tally(keys, np.ones(len(keys)))[3]], low, high)
+            state.save(f"{folder}/{round_}", chunk)
+            length, depth, low, high = _lengths(round_)
+            positions = np.sort(np.concatenate([state.asked, state.known]))
+            if len(state.asked) or len(state.known):
+                yield from _Stretches(c, length, depth, positions, search_shards[1]).send(chunk)
+            if len(state.alive):
+                keys = c.prefixes(state.alive, low, high)[2]
+                known, count, held, _ = _tally(keys, np.ones(len(keys)))
+                yield from _send_tally(known, count, held, wide, chunk, -wide)
 
     return run
 
 
+def _lengths(round_: int) -> tuple[int, int, int, int]:
+    """Of rounds from 2: tokens that match before and at most after it, words of prefixes that are known before and after it."""
+    k = round_ - 2
+    return (FIRST if k == 0 else KNOWN * STEP**k), KNOWN * STEP ** (k + 1), KNOWN * STEP**k, KNOWN * STEP ** (k + 1)
+
+
 def _spread(hashes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of sorted or unsorted hashes by range."""
     return np.searchsorted((np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64), hashes, "right").astype(np.int64)
@@ -356,11 +605,7 @@ def _words(folder: str, shards: int):
                 hashes = np.r_[c.hashes, _END]
                 count = np.bincount(c.words[c.train], minlength=len(hashes)).astype(np.int64)
                 order = np.argsort(hashes, kind="stable")
-                hashes, count = hashes[order], count[order]
-                bounds = np.r_[0, np.searchsorted(_spread(hashes, shards), np.arange(1, shards)), len(hashes)]
-                for s in np.flatnonzero(np.diff(bounds)):
-                    k = slice(bounds[s], bounds[s + 1])
-                    yield _rows(_SENT, [(int(s), chunk, pack(context=hashes[k], count=count[k].astype(np.uint32)))])
+                yield from _send_tally(hashes[order], count[order], np.zeros(len(order), bool), shards, chunk)
 
     return run
 
@@ -383,51 +628,47 @@ def _finish(folder: str, length: int, tokens: int):
     return run
 
 
-def _settle(spark) -> None:
-    """Lets the cleaner drop the files of shuffles that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, held: int = HELD, longest: int | None = None, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score for each row. longest: stops the ladder there (None: no bound)."""
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, held: int = HELD, chunk: int = CHUNK, shard: int = SHARD, piece: int = PIECE) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
     workers_find_package(spark)
     folder = new_path(spark, "ngram")
     kind = dict(docs.dtypes)[key]
     out_of = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held
     narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), out_of.alias("held"))
-    manifest = written(narrow.mapInArrow(_tokenise(folder, chunk), "chunk string, n long, keys binary"), "chunks")
-    total = manifest.agg(F.sum("n"), F.count(F.lit(1))).first()
+    manifest = written(narrow.mapInArrow(_tokenise(folder, chunk), "chunk string, n long, trained long, keys binary"), "chunks")
+    total = manifest.agg(F.sum("n"), F.count(F.lit(1)), F.sum("trained")).first()
     if not total[0]:
         return spark.createDataFrame([], f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     wide = shuffle_width(spark)
     shards = max(min(wide, -(-total[0] // 1000)), -(-total[0] // shard))
     listed = manifest.select("chunk").repartition(min(total[1], 4 * wide), "chunk")
 
-    def answers(sent: DataFrame, first: bool, name: str) -> DataFrame:
-        return written(sent.repartition(min(wide, shards), "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_shard(first), _BACK_SQL), name)
+    def answers(sent: DataFrame, round_: int, depth: int, tasks: int) -> DataFrame:
+        return written(sent.repartition(max(1, min(tasks, 8 * wide)), "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_shard(round_, depth, piece), _BACK_SQL), f"answers-{round_}")
 
-    back = answers(listed.mapInArrow(_words(folder, shards), _SENT_SQL), True, "words")
+    back = answers(listed.mapInArrow(_words(folder, shards), _SENT_SQL), 0, 0, shards)
     sums = back.groupBy("shard").agg(F.first("types").alias("v"), F.first("tokens").alias("n")).agg(F.sum("v"), F.sum("n")).first()
     types, tokens = sums[0], sums[1]
-    empty = F.lit(None)
-    length = 1
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("shard", "long"), ("types", "long"), ("tokens", "long"), ("blob", "binary"))]
+    round_, before, now = 1, 0, 0
     while True:
-        last = back.isEmpty() or (longest is not None and length > longest)
-        every = back.unionByName(manifest.select("chunk", empty.cast("long").alias("shard"), empty.cast("long").alias("types"), empty.cast("long").alias("tokens"), empty.cast("binary").alias("blob")))
-        sent = every.repartition(min(max(total[1], 1), 4 * wide), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_round(folder, length, shards, tokens, types, last, longest), _SENT_SQL)
-        if last:
-            sent.write.format("noop").mode("overwrite").save()
-            break
-        following = answers(sent, False, f"counts-{length}")
+        every = back.unionByName(manifest.select("chunk", *nothing))
+        depth = _lengths(round_)[1] if round_ > 1 else 0
+        if round_ == 2:
+            now = max(min(wide, -(-total[0] // 1000)), -(-total[0] * depth * 4 // (16 * piece)))  # a sixteenth of the positions, as a guess that only sizes shards
+        elif round_ > 2:
+            on = back.where("shard >= 0").agg(F.sum("types")).first()[0] or 0
+            now = max(min(wide, -(-on // 100)), -(-on * depth * 4 // piece), 1)
+        sent = every.repartition(min(max(total[1], 1), 4 * wide), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_round(folder, round_, shards, wide, tokens, types, total[2], (before, now)), _SENT_SQL)
+        following = answers(sent, round_, depth, shards if round_ == 1 else max(now, wide))
         drop_written(back)
-        _remove(f"{folder}/{length // 2}")  # the round that read this state is written
-        del sent, every
-        back, length = following, length * 2
-        _settle(spark)
+        if round_ > 2:
+            drop_folder(spark, f"{folder}/{round_ - 1}")  # the round that read this state is written
+        back, before = following, now
+        if round_ > 1 and back.isEmpty():
+            break
+        round_ += 1
     drop_written(back)
-    rows = manifest.select("chunk", "keys").repartition(min(total[1], 4 * wide), "chunk").mapInArrow(_finish(folder, length, tokens), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = manifest.select("chunk", "keys").repartition(min(total[1], 4 * wide), "chunk").mapInArrow(_finish(folder, round_, tokens), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rows.withColumnRenamed("key", key)

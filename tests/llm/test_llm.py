@@ -185,6 +185,7 @@ def test_reply_trees(spark):
 
 
 def plain_score(rows):
+    """Every context of every length in a dictionary; the longest one that training has is found by trying."""
     train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     seq = lambda t: [w.lower() for w in (t or "").encode().split()] + [b"</>"]
     count, nexts = {}, {}
@@ -193,46 +194,79 @@ def plain_score(rows):
         full = [b"<>"] + s
         for j, w in enumerate(s):
             count[w] = count.get(w, 0) + 1
-            length = 1
-            while length <= j + 1:
-                c = tuple(full[j + 1 - length : j + 1])
-                nexts.setdefault(c, {}).setdefault(w, 0)
-                nexts[c][w] += 1
-                length *= 2
-    n, v, out = sum(count.values()), len(count), []
+            for length in range(1, j + 2):
+                c = nexts.setdefault(tuple(full[j + 1 - length : j + 1]), {})
+                c[w] = c.get(w, 0) + 1
+    n, v, out, lengths = sum(count.values()), len(count), [], set()
     for i, t in rows:
         s = seq(t)
         full, total, base = [b"<>"] + s, 0.0, 0.0
         for j, w in enumerate(s):
             p = (count.get(w, 0) + 1) / (n + v + 1)
-            base, length = base + math.log10(p), 1
-            while length <= j + 1:
-                seen = nexts.get(tuple(full[j + 1 - length : j + 1]), {})
-                whole = sum(seen.values())
-                if not whole:
-                    break
-                mu = ngram.MU.get(length, ngram.MU_LONG)
-                p = (seen.get(w, 0) + mu * p) / (whole + mu)
-                if whole == 1:
-                    break
-                length *= 2
+            base += math.log10(p)
+            best = max((k for k in range(1, j + 2) if tuple(full[j + 1 - k : j + 1]) in nexts), default=0)
+            for k in sorted({1, 2, best}):
+                seen = nexts.get(tuple(full[j + 1 - k : j + 1]), {}) if 0 < k <= j + 1 else {}
+                if whole := sum(seen.values()):
+                    mu = ngram.MU.get(k) or float(ngram.mu_of(k))
+                    p = (seen.get(w, 0) + mu * p) / (whole + mu)
+            lengths.add(best)
             total += math.log10(p)
         out.append((i, len(s), sum(w in count for w in s), n, round(base, 6), round(total, 6)))
-    return sorted(out, key=str)
+    return sorted(out, key=str), lengths
 
 
 def test_ngram(spark, sample):
-    rows = [*sample, *((100 + k, prose(RNG.randrange(80))) for k in range(40))]
-    rows += [(200, rows[-1][1] + " tail"), (201, "new " + rows[-2][1]), (202, rows[-3][1])]
-    for chunk, shard in ((ngram.CHUNK, ngram.SHARD), (300, 200)):
-        got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ngram.score(docs(spark, rows), chunk=chunk, shard=shard).collect()]
-        want = plain_score(rows)
+    rng = random.Random(21)
+    rows = [(i, t) for i, t in sample if len(t or "") < 2000] + [(100 + k, prose(rng.randrange(80), rng)) for k in range(60)]
+    rare = [f"w{k}" for k in range(400)]
+    passage = prose(150, rng, rare)
+    for k in range(30):  # copies of a passage with other starts, ends and edits: matches of all lengths
+        w = passage.split()[rng.randrange(60) : rng.randrange(80, 151)]
+        if k % 2:
+            w[rng.randrange(len(w))] = "edit"
+        rows.append((200 + k, " ".join([prose(rng.randrange(4), rng), *w, prose(rng.randrange(3), rng)])))
+    rows += [(300, passage), (301, passage), (302, passage + " tail"), (303, "new " + passage), (306, passage), (309, passage[:700])]
+    want, lengths = plain_score(rows)
+    assert {1, 2, 3, 4, 5, 6, 7, 9, 15, 16, 17, 31, 50} <= lengths
+    for chunk, shard, piece in ((ngram.CHUNK, ngram.SHARD, ngram.PIECE), (300, 200, 400)):
+        got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ngram.score(docs(spark, rows), chunk=chunk, shard=shard, piece=piece).collect()]
         for a, b in zip(sorted(got, key=str), want):
             assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-5)
         assert len(got) == len(want)
     assert ngram.score(docs(spark, rows).where("false")).count() == 0
 
 
+def test_suffix_array_against_all_contexts():
+    """Longest match and counts of one array and of many pieces, against trying every length."""
+    rng = random.Random(5)
+    for piece in (1 << 20, 64):
+        sent, truth, train = [], [], []
+        for c in range(3):
+            text = [[rng.randrange(1, 5) for _ in range(rng.randrange(2, 40))] for _ in range(20)]
+            held = [rng.random() < 0.4 for _ in text]
+            offset = [sorted(rng.sample(range(1, len(t)), min(3, len(t) - 1))) for t in text]
+            weight = [rng.randrange(1, 4) for _ in text]
+            import numpy as np
+
+            sent.append((str(c), {"tokens": np.array(sum(text, []), np.int64), "size": np.array([len(t) for t in text]), "entries": np.array([len(o) for o in offset]), "offset": np.array(sum(offset, [])), "weight": np.array(weight), "held": np.array(held)}))
+            for t, h, o, w in zip(text, held, offset, weight):
+                for k in o:
+                    truth.append((str(c), h, tuple(t[:k][::-1][:16]), t[k], w))
+                    if not h:
+                        train.append((tuple(t[:k][::-1][:16]), t[k], w))
+        got = [(chunk, *x) for chunk, a, _ in ngram._search(sent, 16, piece) for x in zip(a["answer"], a["whole"], a["own"])]
+        full = {c for _, h, c, _, _ in truth if h and len(c) == 16}
+        for (chunk, h, context, nxt, _), g in zip(truth, got):
+            assert g[0] == chunk
+            if not h:
+                assert (g[1] > 0) == (context in full)
+                continue
+            best = max(k for k in range(len(context) + 1) if any(x[:k] == context[:k] for x, _, _ in train))
+            like = [(y, w) for x, y, w in train if x[:best] == context[:best]]
+            assert g[1:] == (best, sum(w for _, w in like), sum(w for y, w in like if y == nxt))
+
+
 def plain_print(text, n):
     w = [x.lower() for x in (text or "").encode().split()]
     s = [b" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))] if w else []
@@ -325,3 +359,56 @@ def test_pipeline(spark, tmp_path):
     assert left[0] == {*range(12), 20, 21, 22} and left[2] == set(range(12))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= set(range(12))
 
+
+
+def test_warc_small_archives(spark, monkeypatch):
+    """Many archives and slices, and the join that stands in where repeated digests are too many to send."""
+    rows = [(k, f"u{k}", "page %d " % (k % 60) * 30) for k in range(200)] + [(None, None, None), (500, "u", "page 1 " * 30)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, warc.round_trip(p).collect()))
+    assert len(want) == len(rows)
+    assert sorted(map(str, warc.round_trip(p, most=3000, slice_bytes=700).collect())) == want
+    monkeypatch.setattr(warc, "MAX_BROADCAST", 0)
+    assert sorted(map(str, warc.round_trip(p).collect())) == want
+
+
+def test_simhash_null_id_is_a_bridge(spark):
+    """A fingerprint that only rows without an id have still links what is within its reach."""
+    prints = spark.createDataFrame([(1, bytes(8)), (None, b"\0" * 7 + b"\x07"), (2, b"\0" * 7 + b"\x3f"), (9, b"\xff" * 8)], "key long, fp binary")
+    real, simhash.fingerprints = simhash.fingerprints, lambda *a: prints
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near(spark.createDataFrame([(1, "x")], "doc_id long, text string")).collect()}
+    finally:
+        simhash.fingerprints = real
+    assert got == {1: 1, 2: 1, None: 1, 9: 9}
+
+
+def test_clashing_columns(spark):
+    texts = [(1, prose(40)), (2, prose(40)), (2, "other " + prose(50)), (3, None), (None, prose(45))]
+    d = docs(spark, texts).withColumns({c: F.lit("mine") for c in ("kept", "_q", "_row", "base_failed", "stay_id", "stay_digest", "digest", "id", "node", "key", "rule")})
+    kept = quality.keep(d, rules=())
+    assert kept.columns == d.columns and {r["kept"] for r in kept.collect()} <= {"mine"}
+    one = simhash.keep_one(d)
+    assert one.columns == d.columns and sorted((r["doc_id"] or 0, r["stay_id"]) for r in one.collect()) == [(0, "mine"), (1, "mine"), (2, "mine"), (2, "mine"), (3, "mine")]
+    p = spark.createDataFrame([(1, "http://a.com/x", "mine", "mine", "mine")], "page_id long, url string, rule string, mined string, asked_url string")
+    r = urls.judge(p, [urls.Listed("block", "com/")], spark.createDataFrame([], "url string, verdict string")).first()
+    assert (r["rule"], r["verdict"], r["mined"], r["asked_url"]) == ("com/", "block", None, "mine")
+
+
+def test_near_dedup_recall(spark):
+    """Planted pairs at 0.80, 0.82 and 0.85 of Jaccard similarity: at least nine in ten found, and none under 0.8."""
+    rng, rows, true = random.Random(8), [], {}
+    for g in range(240):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        n, share = 400, (0.79, 0.80, 0.82, 0.85)[g % 4]
+        # Replacing the last words leaves n - k shingles of n in common: J = (n - k) / (n + k).
+        k = max(0, math.floor(n * (1 - share) / (1 + share))) + (share == 0.79)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[: 404 - k] + [f"x{rng.randrange(10**6)}" for _ in range(k)]))]
+        a, b = (set(simhash.shingles(t.encode(), 5)) for _, t in rows[-2:])
+        true[g] = len(a & b) / len(a | b) >= 0.8
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs(spark, rows)).collect()}
+    found = {g: got[2 * g + 1] == 2 * g for g in true}
+    assert not any(found[g] for g in true if not true[g])
+    for s in range(1, 4):
+        mine = [found[g] for g in true if g % 4 == s and true[g]]
+        assert len(mine) >= 50 and sum(mine) >= 0.9 * len(mine), (s, sum(mine), len(mine))

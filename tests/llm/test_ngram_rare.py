@@ -1,4 +1,4 @@
-"""N-gram scores of passages that occur once in training, against a brute force that goes on to the ladder's last match."""
+"""N-gram scores of passages that occur once in training: held-out copies match them to the token."""
 
 import math
 import random
@@ -13,9 +13,8 @@ def held(i):
     return zlib.crc32(str(i).encode()) % ngram.FOLDS == ngram.HELD
 
 
-def plain_score(rows, longest=None):
+def plain_score(rows):
     seq = lambda t: t.lower().encode().split() + [b"</>"]
-    ladder = lambda n: [1 << k for k in range(n.bit_length()) if longest is None or 1 << k <= longest]
     count, nexts, out = {}, {}, {}
     for i, t in rows:
         if not held(i):
@@ -23,7 +22,7 @@ def plain_score(rows, longest=None):
             full = [b"<>", *s]
             for j, w in enumerate(s):
                 count[w] = count.get(w, 0) + 1
-                for n in ladder(j + 1):
+                for n in range(1, j + 2):
                     seen = nexts.setdefault(tuple(full[j + 1 - n : j + 1]), {})
                     seen[w] = seen.get(w, 0) + 1
     total, kinds = sum(count.values()), len(count)
@@ -32,27 +31,26 @@ def plain_score(rows, longest=None):
         full, got = [b"<>", *s], 0.0
         for j, w in enumerate(s):
             p = (count.get(w, 0) + 1) / (total + kinds + 1)
-            for n in ladder(j + 1):
-                seen = nexts.get(tuple(full[j + 1 - n : j + 1]))
-                if not seen:
-                    break
-                mu = ngram.MU.get(n, ngram.MU_LONG)
-                p = (seen.get(w, 0) + mu * p) / (sum(seen.values()) + mu)
+            longest = max((n for n in range(1, j + 2) if tuple(full[j + 1 - n : j + 1]) in nexts), default=0)
+            for n in sorted({1, 2, longest}):
+                seen = nexts.get(tuple(full[j + 1 - n : j + 1])) if 1 <= n <= j + 1 else None
+                if seen:
+                    mu = ngram.MU.get(n) or float(ngram.mu_of(n))
+                    p = (seen.get(w, 0) + mu * p) / (sum(seen.values()) + mu)
             got += math.log10(p)
         out[i] = got
     return out
 
 
-@pytest.mark.parametrize("longest", [None, 4])
-def test_copies_of_passages_that_occur_once(spark, longest):
+def test_copies_of_passages_that_occur_once(spark):
     rng = random.Random(6)
     ids = iter(range(1000))
     train, out = [i for i in (next(ids) for _ in range(200)) if not held(i)][:20], [i for i in range(200) if held(i)][:4]
     rare = [" ".join(f"w{rng.randrange(300)}" for _ in range(60)) for _ in train]
     rows = list(zip(train, rare))
     rows += list(zip(out, [rare[0], "new start " + " ".join(rare[1].split()[7:40]) + " other end", rare[2] + " " + rare[3], "w1 w2 w3 unseen"]))
-    want = plain_score(rows, longest)
+    want = plain_score(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     for chunk, shard in ((ngram.CHUNK, ngram.SHARD), (150, 200)):
-        got = {r["doc_id"]: r["score"] for r in ngram.score(d, chunk=chunk, shard=shard, longest=longest).collect()}
+        got = {r["doc_id"]: r["score"] for r in ngram.score(d, chunk=chunk, shard=shard).collect()}
         assert got == pytest.approx(want, abs=1e-4)
