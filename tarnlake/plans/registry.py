@@ -301,7 +301,10 @@ def _components_sql(rounds: int = 12) -> str:
     return q + f", comp AS (SELECT id, dense_rank() OVER (ORDER BY low) - 1 AS component FROM m{rounds})"
 
 
-@query(_components_sql() + " SELECT id, component FROM comp")
+_COMP = _components_sql()
+
+
+@query(_COMP + " SELECT id, component FROM comp")
 def components(s, d):
     sym = T.symbols(s, d)
     return graph.components(sym, graph.call_edges(T.refs(s, d), sym))
@@ -368,7 +371,7 @@ def repo_map_budget(s, d):
     return graph.under_budget(_boosted(s, d), tx.estimate_tokens(line), [F.col("score").desc(), F.col("id")], 2000).select("id", "score", "spent")
 
 
-@query(_components_sql() + """, dg AS (SELECT id, count(*) AS deg FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1),
+@query(_COMP + """, dg AS (SELECT id, count(*) AS deg FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1),
 m AS (SELECT component, symbols.id, name, path, parent_id IS NULL AS top, CASE WHEN parent_id IS NULL THEN coalesce(deg, 0) ELSE 0 END AS deg FROM comp JOIN symbols USING (id) LEFT JOIN dg USING (id)),
 h AS (SELECT component, count(*) OVER (PARTITION BY component) AS size, name AS hub FROM m QUALIFY row_number() OVER (PARTITION BY component ORDER BY top DESC, deg DESC, id) = 1),
 dr AS (SELECT component, path AS dir FROM m GROUP BY component, path QUALIFY row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, path) = 1)
