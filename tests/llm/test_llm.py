@@ -35,14 +35,55 @@ def sample():
     return [*out, out[-1], (None, base[5])]
 
 
+PAGE = '<html><head><title>T</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; <b>line</b></h1><p>One<br>two <script>var a="</p>";</script>three</p><aside>Side words here</aside><div class="ad">Buy now</div><p>Last</p><section class="comments"><p>First!</p></section></article><footer>Foot words</footer>'
+
+
 def test_html_edges():
-    page = '<html><head><title>T</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; <b>line</b></h1><p>One<br>two <script>var a="</p>";</script>three</p><aside>Side words here</aside><div class="ad">Buy now</div><p>Last</p><section class="comments"><p>First!</p></section></article><footer>Foot words</footer>'
-    weights = html.fit(html.count_keys(page))
-    assert html.extract(page, dict(weights)) == "Head & line\n\nOne two three\n\nLast"
+    weights = html.fit(html.count_keys(PAGE))
+    assert html.extract(PAGE, dict(weights)) == "Head & line\n\nOne two three\n\nLast"
     assert html.extract(None, {}) == html.extract("", {}) == html.extract("<p", {}) == ""
     assert html.extract("<body><nav><ul><li><a>x</a></li></ul></nav><div><p>Some words without any marker</p><p>and more</p></div><footer>f</footer>", {}) == "Some words without any marker\n\nand more"
 
 
+def test_html_articles_own_words():
+    """Class words and elements that articles use too, a teaser beside the story, and markup that is never closed."""
+    story = "<p>" + "many words of a story " * 30 + "</p>"
+    told = " ".join(("many words of a story " * 30).split())
+    own = f'<article><header><h1>Title here</h1></header>{story}<div class="social"><p>Society news in plain words</p></div><div class="related"><a href=1>More one</a> <a href=2>two</a></div></article>'
+    assert html.extract(own, {}) == f"Title here\n\n{told}\n\nSociety news in plain words"
+    assert html.extract(f"<header>Site</header><div>{story}</div><article><p>teaser</p></article><div>{story}</div>", {}) == f"{told}\n\nteaser\n\n{told}"
+    assert html.extract("<article><p>Body of text</p></article><div>aside of three</div>", {}) == "Body of text"
+    import time
+
+    began = time.perf_counter()
+    assert html.extract("<i>" * 20_000 + "</b>" * 20_000 + "x", {}) == "x"
+    assert html.extract("<p>" + "word " * 1_000_000, {}).count("word") == 1_000_000
+    assert time.perf_counter() - began < 20
+
+
+def test_html_weights_carry_over():
+    """Fitted on marked pages, the keys are those of pages without a mark: the fit changes what comes out, and the mark isn't needed."""
+    rng = random.Random(9)
+    page = lambda mark: f'<body><div><ul><li>{prose(9, rng)}</li><li>{prose(8, rng)}</li></ul></div>{"<article>" if mark else "<div>"}<p>{prose(30, rng)}</p><p>{prose(20, rng)}</p>{"</article>" if mark else "</div>"}<div><ul><li>{prose(40, rng)}</li></ul></div></body>'
+    counts = sum((html.count_keys(page(True)) for _ in range(20)), html.count_keys(""))
+    weights = html.fit(counts)
+    assert {k[0] for k, _ in counts} >= {"word", "p", "li"} and not any(k[0] == "mark" for k, _ in counts)
+    assert weights["word", False, False, "p"] > 0.9 and weights["word", False, False, "li"] == 0
+    plain = page(False)
+    assert html.extract(plain, dict(weights)) == "\n\n".join(" ".join(x.split()) for x in re.findall("<p>(.*?)</p>", plain))
+    assert html.extract(plain, {}) != html.extract(plain, dict(weights))
+
+
+def test_best_span_against_all_spans():
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [rng.choice([-2.0, -1.0, -0.5, 0.0, 1.0, 3.0]) for _ in range(rng.randrange(14))]
+        every = [(sum(s[i:j]), -i, -(j - i), (i, j)) for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
+        best = max((x[0] for x in every), default=0)
+        i, j = html.best_span(s)
+        assert sum(s[i:j]) == max(best, 0) and (best > 0 or (i, j) == (0, 0))
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<article><p>A b</p></article>"), (None, None, None), (1, "u", "<article><p>A b</p></article>")]
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
