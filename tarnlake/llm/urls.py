@@ -3,7 +3,8 @@
 A URL is a set of tokens (all host suffixes, all host labels and their parts
 between hyphens, the first host label, all path segments by depth, query keys).
 Tokens that occur in the same labelled URLs are one class. FP-growth runs over
-the labelled sets of classes with the label as an item; rules of any length
+the labelled sets of classes with the label as an item; rules of any length that
+at least LEAST labelled URLs and a share SUPPORT of them bear out, and
 whose consequent is a label stay if their confidence is high enough and no rule
 with one class less does as well. A class stands for each of its tokens: a rule
 with two of them is one that a rule with one less does as well as. A kept rule
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, lower_az, written
 
-SUPPORT, CONFIDENCE, MAX_LISTED = 0.005, 0.7, 1000
+SUPPORT, CONFIDENCE, LEAST, MAX_LISTED = 0.005, 0.7, 3, 1000  #: LEAST: labelled urls that a rule needs at least, whatever their share
 _LABEL = "label="
 
 
@@ -67,15 +68,17 @@ def tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, named, F.transform(F.slice(labels, 1, 1), lambda x: F.concat(F.lit("first:"), x)), segments, query, scheme)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """(rule_id, antecedent, verdict, confidence, support, rarest) mined from labelled (url, verdict). antecedent: the classes' tokens; rarest: those of one class."""
     sets = written(labelled.where("url is not null and verdict is not null").select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("items"), "verdict"), "sets")
     single = sets.select("row", F.explode("items").alias("token"))
+    n = sets.count()
+    least = max(least, math.ceil(support * n))
     seen = single.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("rows"))
-    classes = written(seen.where(F.col("n") >= math.ceil(support * sets.count())).groupBy("n", "rows").agg(F.sort_array(F.collect_list("token")).alias("members"), F.min("token").alias("class")), "classes")
+    classes = written(seen.where(F.col("n") >= least).groupBy("n", "rows").agg(F.sort_array(F.collect_list("token")).alias("members"), F.min("token").alias("class")), "classes")
     found = single.join(classes.select("class", F.explode("members").alias("token")), "token").groupBy("row").agg(F.collect_set("class").alias("found"))
     baskets = written(sets.select("row", "verdict").join(found, "row", "left").select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items")), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(n, 1)), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
     rules = written(rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.element_at("consequent", 1), "=", -1).alias("verdict"), "confidence", "support"), "rules")
     less = rules.where(F.size("antecedent") > 1).select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("out")).select("antecedent", "verdict", "confidence", F.filter("antecedent", lambda x: x != F.col("out")).alias("shorter"))
