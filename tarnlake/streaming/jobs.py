@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,12 +29,15 @@ def first_only(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> Dat
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def credit_once(stream: DataFrame, keys: list[str], ts: str, hours: int = 24) -> DataFrame:
-    """(keys, ts, credited): a key's repeat within the hours gets no credit and refreshes the clock. State: the last time, one double a key."""
+def credit_once(stream: DataFrame, keys: list[str], ts: str, hours: int = 24, late: str = "1 day") -> DataFrame:
+    """(keys, ts, credited): a key's repeat within the hours gets no credit and refreshes the clock. State: the last time, one double a key, dropped once the watermark is past its hours, when it can change nothing."""
     kinds = dict(stream.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {ts} timestamp, credited boolean"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(ts)
         credited = []
@@ -43,11 +46,18 @@ def credit_once(stream: DataFrame, keys: list[str], ts: str, hours: int = 24) ->
             credited.append(last is None or now - last > hours * 3600)
             last = now
         state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + hours * 3600) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows[[*keys, ts]].assign(credited=credited)
 
-    return stream.select(*keys, F.col(ts).cast("timestamp").alias(ts)).groupBy(*keys).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.select(*keys, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, late)
+    return timed.groupBy(*keys).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def apply_batches(stream: DataFrame, apply, checkpoint: str, files: int = 64):
-    """Micro-batches through foreachBatch(apply), once over what is there; the source bounds a batch by maxFilesPerTrigger."""
+def source(spark: SparkSession, path: str, schema: str, files: int = 64) -> DataFrame:
+    """Parquet files under a folder as a stream of at most `files` of them a batch, which bounds what a batch holds."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def apply_batches(stream: DataFrame, apply, checkpoint: str):
+    """Micro-batches through foreachBatch(apply), one at a time, over what is there."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
