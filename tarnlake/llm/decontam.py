@@ -8,8 +8,9 @@ last words have that block; a direct comparison of all words confirms. Lengths
 under ten have tables of their own, blocks of one word for one-word items.
 
 The benchmark is the stated query set. Its windows are cut into blocks of at
-most BLOCK windows by item; each block is one narrow pass over the documents,
-pipelined, without a shuffle, so what a worker holds is bounded by a block.
+most BLOCK windows by item, which the driver draws one after the other; each block
+is one narrow pass over the documents, without a shuffle. Between passes the rows
+are written, so what a task and the driver hold is bounded by a block.
 
 Defined cases: null and empty texts have no words, so n_words = n_hit = 0;
 items without words match nothing; repeated items count once for each distinct
@@ -19,14 +20,13 @@ are each searched; the words of a document are searched whole.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_find_package
+from .common import drop_written, workers_find_package, written
 
 WINDOW, BLOCK = 10, 250_000
 
@@ -146,11 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), none.alias("n_words"), none.alias("n_hit"),
         F.array().cast("array<struct<first:int,past:int>>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
-    any_block = False
-    for block in blocks(benchmark, item, item_text, window, most):
-        out, any_block = out.mapInArrow(one_pass(Matcher(block, window)), schema), True
-    if not any_block:
-        out = out.mapInArrow(one_pass(Matcher([], window)), schema)
+    out = _passes(out, (one_pass(Matcher(block, window)) for block in blocks(benchmark, item, item_text, window, most)), one_pass(Matcher([], window)), schema)
     return out.select(F.col("key").alias(key), "n_words", "n_hit", "spans", "items")
 
 
@@ -168,10 +164,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
         return run
 
-    for block in blocks(benchmark, "item_id", "text", WINDOW, BLOCK):
-        docs = docs.mapInArrow(one_pass(Matcher(block)), schema)
-    return docs
-
-
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    found = (one_pass(Matcher(block)) for block in blocks(benchmark, "item_id", "text", WINDOW, BLOCK))
+    return _passes(docs, found, one_pass(Matcher([])), schema)
+
+
+def _passes(rows: DataFrame, found, nothing, schema) -> DataFrame:
+    """One narrow pass for each block. What a pass leaves is written before the next, so that a task holds the tables of one block at a time."""
+    last = None
+    for k, run in enumerate(found):
+        if k:
+            whole = written(rows, "pass")
+            if last is not None:
+                drop_written(last)
+            rows = last = whole
+        rows, nothing = rows.mapInArrow(run, schema), None
+    return rows if nothing is None else rows.mapInArrow(nothing, schema)
