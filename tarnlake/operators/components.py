@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import save
+
 
 def _mark(e: DataFrame) -> tuple[int, int]:
     r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -35,18 +37,14 @@ def connected_components(edges: DataFrame, folder: str, max_rounds: int = 60) ->
     spark = edges.sparkSession
     own = f"{folder}/stars-{uuid.uuid4().hex[:12]}"
 
-    def save(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{own}/{k}")
-        return spark.read.schema(df.schema).parquet(f"{own}/{k}")
-
     clean = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null")
-    e = save(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 0)
+    e = save(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{own}/0")
     loops = clean.where("u = v").select("u").distinct()
     mark, path = _mark(e), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for k in range(1, max_rounds + 1):
         if not mark[0]:
             break
-        e = save(_small_star(_large_star(e)), k)
+        e = save(_small_star(_large_star(e)), f"{own}/{k}")
         before, mark = mark, _mark(e)
         gone = path(f"{own}/{k - 1}")
         gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import NotFound
+from ..errors import Ambiguous, NotFound
 from ..functions import filters
 from ..functions.text import code_terms, estimate_tokens, test_scope
 from . import graph, lookup, search
@@ -185,9 +185,11 @@ def _after(priced: DataFrame, paid: DataFrame, budget: int) -> DataFrame:
 
 
 def one_match(symbols: DataFrame, name: str) -> DataFrame:
-    """The single symbol of a name; NotFound names up to five candidates where there is none or more than one."""
+    """The single symbol of a name; NotFound where there is none, Ambiguous with up to five candidates where there are more."""
     tiers = lookup.resolve(symbols, symbols.sparkSession.createDataFrame([(name,)], "wanted string"))
     found = [r["id"] for r in tiers.select("id").orderBy("id").limit(6).collect()]
-    if len(found) != 1:
-        raise NotFound(f"{len(found) if len(found) < 6 else 'over 5'} symbols match {name}: {found[:5]}")
+    if not found:
+        raise NotFound(f"no symbol: {name}")
+    if len(found) > 1:
+        raise Ambiguous(f"{'over 5' if len(found) > 5 else len(found)} symbols match {name}: {found[:5]}")
     return symbols.where(F.col("id") == found[0])

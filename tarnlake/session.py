@@ -26,8 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    """df written to a path and read from there. The statement's shuffle files go at its end: what comes later reads the table."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a written table: short lineage, safe against lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return save(df, f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.errors import InvalidParams, NotFound, ResourceExhausted
+from tarnlake.errors import Ambiguous, InvalidParams, NotFound, ResourceExhausted
 from tarnlake.functions import text as tx
 from tarnlake.operators import accounts, graph, incremental, indexing, lookup, search, symbols, tokens, vectors
 from tarnlake.sources.tree import extract, walk
@@ -40,9 +40,10 @@ def test_find_symbol_takes_the_first_tier_with_hits(spark, sym, doc):
 
 def test_one_match(spark, sym):
     assert symbols.one_match(sym, "m::Parser").first()["id"] == 2
-    for name in ("nothing", "parsefile"):
-        with pytest.raises(NotFound):
-            symbols.one_match(sym, name)
+    with pytest.raises(NotFound):
+        symbols.one_match(sym, "nothing")
+    with pytest.raises(Ambiguous):
+        symbols.one_match(sym, "parsefile")
 
 
 def test_caseless_is_ascii(spark):
