@@ -35,6 +35,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.sum("i").alias("indeg"), F.sum("o").alias("outdeg"))
 
 
+def degree_lists(symbols: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
+    """(list, id, degree): the k top-level symbols of most incoming, and of most outgoing edges."""
+    d = degrees(edges).join(symbols.where("parent_id is null").select("id"), "id", "left_semi")
+    side = lambda name, c: d.where(F.col(c) > 0).orderBy(F.col(c).desc(), "id").limit(k).select(F.lit(name).alias("list"), "id", F.col(c).alias("degree"))
+    return side("in", "indeg").unionByName(side("out", "outdeg"))
+
+
 def tiers(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, cap: int = TIER_CAP, visits: int = VISIT_CAP) -> DataFrame:
     """(seed, depth, id): breadth-first layers for every seed at once; a layer keeps its `cap` smallest ids, which alone go on."""
     a, b = ("dst", "src") if reverse else ("src", "dst")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParams
-from ..functions.text import ignored
+from ..functions.text import code_terms, ignored
 from .incremental import apply_changes, cascade_delete, snapshot_diff
 
 
@@ -88,3 +88,46 @@ def merged_ranges(ranges: DataFrame, key: str = "path") -> DataFrame:
     r = ranges.withColumn("before", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     r = r.withColumn("part", F.sum(F.coalesce((F.col("start") >= F.col("before")).cast("int"), F.lit(1))).over(w))
     return r.groupBy(key, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
+
+
+def save_snapshot(tables: dict[str, DataFrame], folder: str, version: int) -> None:
+    """Tables under folder/version, and last of all the mark that makes the version one to read."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{folder}/{version:012d}/{name}")
+    spark.createDataFrame([(sorted(tables),)], "tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/version={version}")
+
+
+def open_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables of one version, the latest complete one by default: later writes don't change what is read."""
+    marks = spark.read.parquet(f"{folder}/marks")
+    found = marks.orderBy(F.col("version").desc()).first() if version is None else marks.where(F.col("version") == version).first()
+    if found is None:
+        raise InvalidParams(f"no snapshot {version}")
+    return {t: spark.read.parquet(f"{folder}/{found['version']:012d}/{t}") for t in found["tables"]}
+
+
+def postings(symbols: DataFrame, most_bytes: int = 60_000) -> DataFrame:
+    """(path, field, term, id, tf, len) over name, qualified name, signature and doc; fields are cut at most_bytes between characters."""
+    every = None
+    for name in ("name", "qualified_name", "signature", "doc"):
+        text = F.coalesce(F.col(name), F.lit(""))
+        short = F.when(F.octet_length(text) <= most_bytes, text).otherwise(_cut(text, most_bytes))
+        terms = F.filter(F.split(F.lower(short), r"[^\p{L}\p{N}]+"), lambda w: w != "") if name == "doc" else code_terms(short)
+        t = symbols.select("path", "id", F.lit(name).alias("field"), terms.alias("terms")).withColumn("len", F.size("terms"))
+        part = t.select("path", "id", "field", "len", F.explode("terms").alias("term")).groupBy("path", "field", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def _cut(text, most: int):
+    """The first `most` bytes of a text without a broken last character."""
+    raw = F.encode(text, "UTF-8")
+    late = lambda k: F.hex(F.substring(raw, most - k + 1, 1)).rlike("^[89AB]")
+    at = F.lit(most) - F.when(~late(0), 0).when(~late(1), 1).when(~late(2), 2).otherwise(3)
+    return F.decode(F.substring(raw, F.lit(1), at), "UTF-8")
+
+
+def maintain(old: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """Postings after a change: those of the changed paths go, those of their present symbols come."""
+    return old.join(changed.select("path").distinct(), "path", "left_anti").unionByName(postings(symbols.join(changed.select("path").distinct(), "path", "left_semi")))

@@ -293,6 +293,23 @@ def context_budget(s, d):
     return symbols.context(sym, cut(graph.call_edges(T.refs(s, d), sym)), sym.where("id % 50 = 0").select("id"), 120, ("SMALL", "LARGE"), F.col("other") % 7 == 0)
 
 
+_STATS = f"{_REFS}{_EDGES}, g AS (SELECT id, sum(i)::BIGINT AS indeg, sum(o)::BIGINT AS outdeg FROM (SELECT src AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) JOIN symbols USING (id) WHERE parent_id IS NULL GROUP BY 1)"
+
+
+@query(f"WITH {_STATS} SELECT * FROM (SELECT 'in' AS list, id, indeg AS degree FROM g WHERE indeg > 0 ORDER BY indeg DESC, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'out', id, outdeg FROM g WHERE outdeg > 0 ORDER BY outdeg DESC, id LIMIT 20)")
+def degree_lists(s, d):
+    sym = T.symbols(s, d)
+    return graph.degree_lists(sym, graph.call_edges(T.refs(s, d), sym))
+
+
+@query(f"WITH {_SYM}, {_DOCS}, t AS (SELECT path, id, 'name' AS field, {_code_terms('name')} AS terms FROM symbols UNION ALL SELECT path, id, 'qualified_name', {_code_terms('qualified_name')} FROM symbols UNION ALL SELECT path, id, 'doc', list_filter(string_split_regex(lower(doc), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') FROM symbols JOIN docs ON symbol_id = id) SELECT path, field, term, id, len::INT AS len, count(*) AS tf FROM (SELECT path, field, id, len(terms) AS len, unnest(terms) AS term FROM t) GROUP BY ALL")
+def index_maintenance(s, d):
+    sym = symbols.with_docs(T.symbols(s, d), _docs(s, d))
+    changed = sym.where("path in ('Brand#11', 'Brand#12')").select("path").distinct()
+    before = indexing.postings(sym.withColumn("name", F.when(F.col("path") == "Brand#11", F.concat("name", F.lit("_old"))).otherwise(F.col("name"))).where("path <> 'Brand#12'"))
+    return indexing.maintain(before, sym, changed)
+
+
 # Filters
 def _typed(s, d):
     """Files with one of five extensions and a time."""

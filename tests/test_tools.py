@@ -246,3 +246,37 @@ def test_stream_apply(spark, tmp_path):
     seen = []
     jobs.apply_batches(jobs.source(spark, str(tmp_path / "in"), "x long", files=1), lambda d, _: seen.append(d.count()), str(tmp_path / "ck")).awaitTermination(120)
     assert sum(seen) == 3 and max(seen) == 1 and os.path.isdir(tmp_path / "ck")
+
+
+def test_config(tmp_path):
+    from tarnlake import config
+
+    (tmp_path / "a.toml").write_text('max_results = 5\nignore = ["x"]\n')
+    c = config.load(str(tmp_path / "a.toml"))
+    assert (c.max_results, c.ignore, c.map_tokens) == (5, ("x",), 2000)
+    for bad in ("max_results = 'a'", "other = 1", "x ="):
+        (tmp_path / "b.toml").write_text(bad)
+        with pytest.raises(InvalidParams):
+            config.load(str(tmp_path / "b.toml"))
+
+
+def test_sinks(spark, tmp_path):
+    from tarnlake import sinks
+
+    r = spark.createDataFrame([(1, None, [], "a\tb\\"), (2, 0.5, [3], "é\n")], "k long, x double, l array<long>, t string")
+    assert [x["value"] for x in sinks.json_lines(r).collect()] == ['{"k":1,"t":"a\\tb\\\\"}', '{"k":2,"x":0.5,"l":[3],"t":"é\\n"}']
+    assert [x["value"] for x in sinks.tsv_lines(r.drop("l")).collect()] == ["1\t\ta\\tb\\\\", "2\t0.5\té\\n"]
+    sinks.write_lines(sinks.tsv_lines(r.select("k")), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 2
+
+
+def test_snapshots_and_postings(spark, sym, doc, tmp_path):
+    at = str(tmp_path / "snap")
+    indexing.save_snapshot({"symbols": sym, "docs": doc}, at, 1)
+    pinned = indexing.open_snapshot(spark, at)
+    indexing.save_snapshot({"symbols": sym.where("id = 1"), "docs": doc}, at, 2)
+    assert pinned["symbols"].count() == 4 and indexing.open_snapshot(spark, at)["symbols"].count() == 1 and indexing.open_snapshot(spark, at, 1)["docs"].count() == 1
+    with pytest.raises(InvalidParams):
+        indexing.open_snapshot(spark, at, 9)
+    long = spark.createDataFrame([(1, "a", "é" * 40_000, "q", None, None)], "id long, path string, name string, qualified_name string, signature string, doc string")
+    assert {len(r["term"]) for r in indexing.postings(long).where("field = 'name'").collect()} == {30_000}
