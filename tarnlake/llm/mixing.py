@@ -15,8 +15,7 @@ inside a source go over hash buckets first (one small row each), then within a
 bucket, so that no source is sorted in one task.
 
 Defined cases: null text has size 0; null source is a source of its own and
-sorts last; documents of size 0 are taken once where their place is in the
-first epoch and add no words; ties of the hash fall to id, size and text hash,
+sorts last; documents of size 0 are taken once and add no words; ties of the hash fall to id, size and text hash,
 and repeated rows are each taken as their place says; an empty table, or one
 without words, gives targets of 0.
 """

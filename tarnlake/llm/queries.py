@@ -35,7 +35,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ready(spark)
-    return mixing.placed(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "positions")
+    first, last = F.round(F.get("positions", F.lit(0)), 9), F.round(F.get("positions", F.size("positions") - 1), 9)
+    return mixing.placed(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", first.alias("first_position"), last.alias("last_position"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

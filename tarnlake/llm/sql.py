@@ -35,19 +35,21 @@ FROM b
 OP4 = r"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY 1),
-k AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS w FROM s),
+k AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS w, [-0.5, 0.0, 0.5][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS slope FROM s),
 f AS (SELECT *, 3 * n / w AS lvl, sum(n) OVER ()::BIGINT AS total, sum(w) OVER ()::BIGINT AS all_w,
              coalesce(sum(3 * n) OVER o, 0)::BIGINT AS full_n, coalesce(sum(w) OVER o, 0)::BIGINT AS full_w
       FROM k WINDOW o AS (ORDER BY 3 * n / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 e AS (SELECT total - full_n AS words, all_w - full_w AS weight FROM f WHERE (total - full_n) * w <= 3 * n * (all_w - full_w) ORDER BY lvl, source IS NULL, source LIMIT 1),
-g AS (SELECT source, n, coalesce(least((words * w)::DOUBLE / weight::DOUBLE, (3 * n)::DOUBLE), 0.0) AS target FROM f, e),
-p AS (SELECT d.doc_id, d.size, g.n AS source_size, g.target,
+g AS (SELECT source, n, slope, coalesce(least((words * w)::DOUBLE / weight::DOUBLE, (3 * n)::DOUBLE), 0.0) AS target FROM f, e),
+p AS (SELECT d.doc_id, d.size, g.n AS source_size, g.target, g.slope,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size, d.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       size * (CASE WHEN size = 0 THEN 1 WHEN target - place - size / 2.0 < 0 THEN 0 ELSE least(3, floor((target - place - size / 2.0) / source_size) + 1) END)::BIGINT AS taken,
-       (CASE WHEN size = 0 THEN 1 WHEN target - place - size / 2.0 < 0 THEN 0 ELSE least(3, floor((target - place - size / 2.0) / source_size) + 1) END)::BIGINT AS copies
-FROM p
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT *, (CASE WHEN size = 0 THEN 1 WHEN target - place - size / 2.0 < 0 THEN 0 ELSE least(3, floor((target - place - size / 2.0) / source_size) + 1) END)::BIGINT AS copies FROM p),
+u AS (SELECT *, least(1.0, CASE WHEN target > 0 THEN (place + size / 2.0) / target ELSE 0 END)::DOUBLE AS a, least(1.0, CASE WHEN target > 0 THEN (place + (copies - 1) * source_size + size / 2.0) / target ELSE 0 END)::DOUBLE AS z FROM c)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
+       CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN a ELSE 2 * a / (1 - slope + sqrt(greatest(0.0, (1 - slope) * (1 - slope) + 4 * slope * a))) END, 9) END AS first_position,
+       CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN z ELSE 2 * z / (1 - slope + sqrt(greatest(0.0, (1 - slope) * (1 - slope) + 4 * slope * z))) END, 9) END AS last_position
+FROM u
 """
 
 _NORMAL = r"translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -11,7 +11,11 @@ def test_positions_of_every_copy(spark, tmp_path):
     rows = [(k, " ".join("w" for _ in range(rng.randrange(1, 40))), "en", f"s{k % 3}", None) for k in range(150)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["op4_mixture"](spark, str(tmp_path)).collect()
+    got = [r.asDict() | {"doc_id": r["key"]} for r in mixing.placed(d).collect()]
+    query = {r["doc_id"]: r for r in QUERIES["op4_mixture"](spark, str(tmp_path)).collect()}
+    for r in got:
+        q, at = query[r["doc_id"]], [round(x, 9) for x in r["positions"]] or [None]
+        assert (q["taken"], q["copies"], q["first_position"], q["last_position"]) == (r["taken"], r["copies"], at[0], at[-1])
     # the demand target * (t + slope * (t^2 - t)) at each copy's position is the middle of the copy
     own = {r["key"]: r for r in mixing.assign(d).collect()}
     assert len(got) == 150 and max(len(r["positions"]) for r in got) > 1 and min(len(r["positions"]) for r in got) == 0
