@@ -93,11 +93,6 @@ def lower_az(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def words_of(c: Column) -> Column:
-    """The words of a text; null has none."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), BLANK), lambda w: w != "")
-
-
 def bounded_sample(df: DataFrame, by: list[str], bound: int) -> DataFrame:
     """At most bound rows of df, those whose columns `by` hash lowest. Only hashes are sorted; rows that share the last hash are alike."""
     h = F.xxhash64(*by)

@@ -1,14 +1,15 @@
 """Unbounded n-gram scoring by sharded suffix arrays.
 
-Model: p_0(w) = (c(w) + 1) / (N + V + 1); for contexts of 1 and 2 tokens, where
-they occur in training, p_L(w) = (c(context, w) + mu_L * p_(L-1)(w)) /
-(c(context) + mu_L); and where the longest context that occurs in training has
-L > 2 tokens, p(w) = (c(context, w) + mu_L * p_2(w)) / (c(context) + mu_L) for
-that L, whatever it is. Contexts begin at the document's start mark at the
-earliest. All counts are of training tokens, and each of the p sums to 1.
+Model: p_0(w) = (c(w) + 1) / (N + V + 1); for the context of one token, where it
+occurs in training, p_1(w) = (1 - e_1) * c(context, w) / c(context) + e_1 *
+p_0(w); and where the longest context that occurs in training has L > 1 tokens,
+p(w) = (1 - e_L) * c(context, w) / c(context) + e_L * p_1(w) for that L, whatever
+it is. Contexts begin at the document's start mark at the earliest. All counts are
+of training tokens, and each of the p sums to 1.
 
 Short contexts: c(context) is the count of an n-gram that ends one token before,
-so all that is needed are counts of 2- and 3-grams. Chunks add them up first and
+so all that is needed are counts of 2-grams, and of 3-grams where a held-out
+position has the two tokens before as well. Chunks add them up first and
 send them to shards by their hash: an n-gram that a third of all positions share
 is one row a chunk, and no shard is larger than another.
 
@@ -16,7 +17,8 @@ Long contexts of held-out documents: a round takes positions whose last R tokens
 are known to match (R = 3, 16, 64, 256, ...) to R' = 16, 64, 256, ... tokens. A
 shard gets, as token ids, the text before those positions and before the training
 positions that some held-out position matches so far. It sorts the training ones
-by their tokens read backwards (a suffix array, cut into pieces of bounded size),
+by their tokens read backwards (a suffix array, cut into pieces of bounded size;
+beyond COLUMNS tokens the whole blocks that match are found first, by hash),
 binary-searches each held-out position in every piece, compares tokens with both
 neighbours, takes the longest match over all pieces, and sums the counts of that
 context and of its next token over the pieces. What matches all R' tokens goes to
@@ -52,6 +54,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -60,19 +63,20 @@ from pyspark.sql import functions as F
 
 from .common import drop_folder, drop_written, new_path, shuffle_width, workers_find_package, written
 
-CHUNK, SHARD = 2_000_000, 2_000_000
+CHUNK, SHARD = 1_000_000, 2_000_000
 FOLDS, HELD = 7, 2
-MU = {1: 500.0, 2: 20.0}
-PIECE = 48 << 20  #: bytes of suffixes that a piece of a shard's suffix array has at most
+ESCAPE = {1: 0.4, 2: 0.5}  #: share of p_0 after contexts of one token, of p_1 after longest contexts of two
+COLUMNS, SEARCHED = 16, 250_000  #: tokens that a suffix array sorts by; positions that a shard searches
+PIECE = 24 << 20  #: bytes of suffixes that a piece of a shard's suffix array has at most
 FIRST, KNOWN, STEP = 3, 4, 4  #: tokens that match before the first round, words of prefixes that are counted before it, growth of both
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _BASE = 0x9E3779B97F4A7C15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def mu_of(length: np.ndarray) -> np.ndarray:
-    """Weight of the shorter contexts for contexts of three tokens and more: the longer, the less."""
-    return np.maximum(0.25, 16.0 / np.asarray(length, np.float64) ** 2)
+def escape_of(length: np.ndarray) -> np.ndarray:
+    """Share of p_1 after longest contexts of three tokens and more: the longer the match, the less."""
+    return np.maximum(0.02, 1.0 / np.maximum(np.asarray(length, np.float64), 1.0))
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -138,49 +142,54 @@ def _tokenise(folder: str, size: int):
     """Documents (key, text, held) -> chunk files; yields (chunk, tokens, training documents, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
         schema = pa.schema([("chunk", pa.string()), ("n", pa.int64()), ("trained", pa.int64()), ("keys", pa.binary())])
-        codes: dict[bytes, int] = {}
-        parts: list[np.ndarray] = []
-        lengths: list[int] = []
-        held: list[bool] = []
-        keys: list = []
+        parts: list[pa.Array] = []  # words of whole documents
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        keys: list[pa.Array] = []
         n = 0
-        kind = None
 
         def close() -> pa.RecordBatch:
-            nonlocal codes, parts, lengths, held, keys, n
+            nonlocal parts, lengths, held, keys, n
             chunk = uuid.uuid4().hex
             digest = xxhash.xxh64_intdigest
-            hashes = np.fromiter((digest(w) for w in codes), np.uint64, len(codes))
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            hashes = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
             hashes[hashes == _END] ^= np.uint64(1)
             order = np.argsort(hashes)
-            place = np.empty(len(order) + 1, np.int32)
+            place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
-            place[-1] = len(order)  # the end token, last
-            words = np.concatenate(parts)
-            _save(folder, chunk, pack(words=place[words], lengths=np.array(lengths, np.int64), held=np.array(held, np.uint8), hashes=hashes[order]))
+            size, out_of = np.concatenate(lengths) + 1, np.concatenate(held)
+            words = np.full(n, len(order), np.int32)  # the end token, last
+            last = np.zeros(n, bool)
+            last[np.cumsum(size) - 1] = True
+            words[~last] = place[coded.indices.to_numpy()]
+            _save(f"{folder}/text", chunk, pack(words=words, lengths=size, held=out_of.astype(np.uint8), hashes=hashes[order]))
+            key = pa.concat_arrays(keys)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("key", kind)])) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(keys, kind)], ["key"]))
-            out = _rows(schema, [(chunk, n, len(held) - sum(held), sink.getvalue().to_pybytes())])
-            codes, parts, lengths, held, keys, n = {}, [], [], [], [], 0
+            with pa.ipc.new_stream(sink, pa.schema([("key", key.type)])) as w:
+                w.write_batch(pa.RecordBatch.from_arrays([key], ["key"]))
+            out = _rows(schema, [(chunk, n, int((~out_of).sum()), sink.getvalue().to_pybytes())])
+            parts, lengths, held, keys, n = [], [], [], [], 0
             return out
 
         for b in batches:
-            kind = b.column(0).type
-            for key, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                w = (t or b"").lower().split()
-                own = np.empty(len(w) + 1, np.int32)
-                get = codes.setdefault
-                own[:-1] = np.fromiter((get(x, len(codes)) for x in w), np.int32, len(w))
-                own[-1] = -1
-                parts.append(own)
-                lengths.append(len(own))
-                held.append(h)
-                keys.append(key)
-                n += len(own)
+            text = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column(1), "")))
+            flat = text.flatten()
+            real = pc.not_equal(flat, "")
+            ends = text.offsets.to_numpy() - text.offsets[0].as_py()
+            upto = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][ends]  # words before each document
+            flat, out_of, begin = flat.filter(real), b.column(2).to_numpy(zero_copy_only=False).astype(bool), 0
+            while begin < b.num_rows:  # documents up to the one that fills the chunk
+                room = size - n + upto[begin] + begin
+                stop = min(b.num_rows, int(np.searchsorted(upto[1:] + np.arange(1, len(upto)), room)) + 1)
+                stop = max(stop, begin + 1)
+                parts.append(flat.slice(upto[begin], upto[stop] - upto[begin]))
+                lengths.append(np.diff(upto[begin : stop + 1]))
+                held.append(out_of[begin:stop])
+                keys.append(b.column(0).slice(begin, stop - begin))
+                n += int(upto[stop] - upto[begin]) + stop - begin
+                begin = stop
                 if n >= size:
                     yield close()
         if n:
@@ -189,35 +198,50 @@ def _tokenise(folder: str, size: int):
     return run
 
 
+def _rolling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of hash * base^place, and base^-place: sums[j] - sums[i], times inverse[i], is the hash of i..j wherever it stands."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, len(x) - 1), np.uint64(_BASE))])[: len(x)]
+        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), np.uint64(inverse))])
+        return np.r_[np.uint64(0), np.cumsum(x * power, dtype=np.uint64)], back
+
+
 class _Chunk:
     """A chunk's tokens with a start mark before each document."""
 
-    def __init__(self, folder: str, chunk: str):
-        d = _load(folder, chunk)
-        self.words, self.lengths, self.held, self.hashes = d["words"], d["lengths"], d["held"].astype(bool), d["hashes"]
+    def __init__(self, d: dict[str, np.ndarray]):
+        self.words, self.lengths, self.held, self.hashes = d["words"], d["lengths"], d["held"].astype(bool), d.get("hashes")
         self.train = ~np.repeat(self.held, self.lengths)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        start = np.cumsum(self.lengths) - self.lengths
-        self.start = start
-        self.before = np.arange(len(self.words)) - np.repeat(start, self.lengths)  # words of the document before this one
-        self.sums = self.rolling()
+        self.start = np.cumsum(self.lengths) - self.lengths
+        self.before = np.arange(len(self.words)) - np.repeat(self.start, self.lengths)  # words of the document before this one
+        self.ids: np.ndarray | None = None
+        if "ids" in d:
+            self.name(d["ids"])
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"words": self.words, "lengths": self.lengths, "held": self.held.astype(np.uint8), "ids": self.ids}
+
+    def part(self, docs: np.ndarray) -> _Chunk:
+        """These documents alone, with their own words; the end token stays the last."""
+        on = np.zeros(len(self.lengths), bool)
+        on[docs] = True
+        words = self.words[on[self.doc]]
+        used = np.zeros(len(self.ids), bool)
+        used[words] = used[-1] = True
+        place = (np.cumsum(used) - 1).astype(np.int32)
+        return _Chunk({"words": place[words], "lengths": self.lengths[docs], "held": self.held[docs], "ids": self.ids[used]})
 
     def name(self, ids: np.ndarray) -> None:
         """sequence: ids of all tokens with start marks."""
+        self.ids = ids
         self.sequence = np.zeros(len(self.words) + len(self.lengths), np.int64)
-        self.sequence[self.at(np.arange(len(self.words)))] = ids[self.words] + 1
-
-    def rolling(self) -> tuple[np.ndarray, np.ndarray]:
-        """Running sums over tokens with start marks of hash * base^place, and base^-place."""
-        marks = len(self.lengths)
-        at = np.arange(len(self.words)) + self.doc + 1
-        x = np.full(len(self.words) + marks, _START)
-        x[at] = _mix(np.r_[self.hashes, _END])[self.words]
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x) - 1, np.uint64(_BASE))])
-            back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x) - 1, np.uint64(inverse))])
-            return np.r_[np.uint64(0), np.cumsum(x * power, dtype=np.uint64)], back
+        at = self.at(np.arange(len(self.words)))
+        self.sequence[at] = ids[self.words] + 1
+        x = np.full(len(self.sequence), _START)
+        x[at] = _mix((ids + 1).astype(np.uint64) * np.uint64(_BASE))[self.words]
+        self.sums = _rolling(x)
 
     def hashes_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Hashes of the tokens low..high (exclusive) of the sequence with start marks."""
@@ -229,11 +253,10 @@ class _Chunk:
         """Places of positions in the sequence with start marks."""
         return positions + self.doc[positions] + 1
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of the n-grams that end there, start marks included."""
-        of = np.flatnonzero(self.before + 2 >= n)
-        end = self.at(of) + 1
-        return of, self.hashes_of(end - n, end)
+    def grams(self, n: int) -> np.ndarray:
+        """Hashes of the n-grams that end at each position; n is at most 2, so that all are there."""
+        end = self.at(np.arange(len(self.words))) + 1
+        return self.hashes_of(end - n, end)
 
     def prefixes(self, docs: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of docs, words, hash) of the prefixes with low < words <= high that the documents have."""
@@ -244,9 +267,29 @@ class _Chunk:
         return row, words, self.hashes_of(mark, mark + words + 1)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, where each key went). Keys are sorted with their places in their low bits, which is several times faster than an indirect sort; the few that the lost bits leave in disorder are put right."""
+    n = len(keys)
+    bits = np.uint64(max(1, n - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    both = (keys & ~low) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    found = keys[order]
+    for k in np.flatnonzero(found[1:] < found[:-1]):
+        group = slice(*np.searchsorted(both, [found[k] & ~low, found[k] | low], "left"))
+        group = slice(group.start, group.stop + (group.stop < n and both[group.stop] == found[k] | low))
+        again = np.argsort(found[group], kind="stable")
+        order[group], found[group] = order[group][again], found[group][again]
+    first = np.r_[True, found[1:] != found[:-1]] if n else np.zeros(0, bool)
+    went = np.empty(n, np.int64)
+    went[order] = np.cumsum(first) - 1
+    return found[first], went
+
+
 def _tally(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys in order, their weight, whether one of no weight is among them, where each key went)."""
-    known, went = np.unique(keys, return_inverse=True)
+    known, went = _distinct(keys)
     count = np.bincount(went, weight, minlength=len(known)).astype(np.int64)
     return known, count, np.bincount(went, minlength=len(known)) > count, went
 
@@ -265,15 +308,18 @@ class _Stretches:
         place = c.at(positions)
         window = 1 if length < 4 else length // 2
         block = length - window + 1
-        ends = np.arange(block, len(c.sequence) + 1)
-        least = np.full(len(c.sequence) + 1, _ONES)
-        least[block:] = c.hashes_of(ends - block, ends)
-        best, step = np.arange(len(least)), 1
+        # Ends of blocks within the last tokens of the positions, and nothing else: runs of them, each as long as a window at least.
+        near = np.zeros(len(c.sequence) + 2, np.int64)
+        np.add.at(near, place - window + 1, 1)
+        np.add.at(near, place + 1, -1)
+        ends = np.flatnonzero(np.cumsum(near) > 0)
+        least = c.hashes_of(ends - block, ends)
+        best, step = np.arange(len(ends)), 1
         while step < window:  # of equal hashes the rightmost
             left, own = best[:-step], best[step:]
             best = np.r_[best[:step], np.where(least[left] < least[own], left, own)]
             step *= 2
-        anchor = best[place]
+        anchor = best[np.searchsorted(ends, place)]
         new = np.r_[True, anchor[1:] != anchor[:-1]] if len(anchor) else np.zeros(0, bool)
         of, first = np.cumsum(new) - 1, np.flatnonzero(new)
         last = np.r_[first[1:], len(anchor)][: len(first)] - 1
@@ -283,7 +329,7 @@ class _Stretches:
         with np.errstate(over="ignore"):
             pattern = np.add.reduceat(_mix(offset.astype(np.uint64) * np.uint64(_BASE)), first) if len(first) else np.zeros(0, np.uint64)
             alike = _mix(c.hashes_of(low, high) * np.uint64(3) + pattern + c.held[docs].astype(np.uint64))
-        shard = _spread(least[anchor[first]], shards)
+        shard = _spread(_mix(least[anchor[first]] * np.uint64(_BASE)), shards)  # least hashes are small: hashed again they are even
         order = np.lexsort((alike, shard))
         differs = np.r_[True, (alike[order][1:] != alike[order][:-1]) | (shard[order][1:] != shard[order][:-1])] if len(order) else np.zeros(0, bool)
         number = np.empty(len(order), np.int64)
@@ -344,7 +390,38 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _search(sent: list[tuple[str, dict]], depth: int, piece: int) -> Iterator[tuple[str, dict, int]]:
+def _one_of_each(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, which of them each key is)."""
+    known, went = _distinct(keys)
+    one = np.zeros(len(known), np.int64)
+    one[went] = np.arange(len(keys))
+    return one, went
+
+
+def _blocks(context, offset: np.ndarray, asked: np.ndarray, known: np.ndarray, weight: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens of each asked context match in whole blocks of COLUMNS tokens, by binary search of the number of blocks; and the known contexts, each once for every such number at which an asked one with the same tokens stops: (base of the asked, known, their weights, their bases).
+
+    A step asks whether `step` tokens more match. Known contexts that some asked
+    one follows go along; those at which some asked one stays behind stay as well.
+    """
+    base = np.full(len(asked), length // COLUMNS * COLUMNS)
+    row, at = np.arange(len(known)), np.full(len(known), length // COLUMNS * COLUMNS)
+    step = depth // 2 // COLUMNS * COLUMNS
+    while step >= COLUMNS:
+        can, could = base + step <= np.minimum(offset[asked], depth), at + step <= np.minimum(offset[known[row]], depth)
+        further, known_further = context(asked[can], base[can] + step), context(known[row[could]], at[could] + step)
+        goes = np.zeros(len(asked), bool)
+        goes[can] = np.isin(further, known_further)
+        follows = np.zeros(len(row), bool)
+        follows[could] = np.isin(known_further, further)
+        stays = np.isin(context(known[row], at), context(asked[~goes], base[~goes]))
+        row, at = np.concatenate([row[stays], row[follows]]), np.concatenate([at[stays], at[follows] + step])
+        base = np.where(goes, base + step, base)
+        step //= 2
+    return base, known[row], weight[row], at
+
+
+def _search(sent: list[tuple[str, dict]], length: int, depth: int, piece: int) -> Iterator[tuple[str, dict, int]]:
     """(chunk, its answers in the order of sending, positions among them that match all `depth` tokens)."""
     tokens = np.concatenate([d["tokens"] for _, d in sent])
     size, many = np.concatenate([d["size"] for _, d in sent]).astype(np.int64), np.concatenate([d["entries"] for _, d in sent]).astype(np.int64)
@@ -353,38 +430,52 @@ def _search(sent: list[tuple[str, dict]], depth: int, piece: int) -> Iterator[tu
     weight = np.repeat(np.concatenate([d["weight"] for _, d in sent]), many).astype(np.int64)
     held = np.repeat(np.concatenate([d["held"] for _, d in sent]), many).astype(bool)
     codes = np.unique(tokens, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)  # 0: before the start mark
-    back = np.arange(1, depth + 1)
+    total, inverse = _rolling(_mix(tokens.astype(np.uint64) + np.uint64(_BASE)))
 
-    def suffixes(k: np.ndarray) -> np.ndarray:
-        return np.where(back <= offset[k][:, None], codes[np.maximum(at[k][:, None] - back, 0)], np.uint32(0))
+    def context(k: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of the `size` tokens before the entries."""
+        with np.errstate(over="ignore"):
+            return _mix((total[at[k]] - total[at[k] - size]) * inverse[at[k] - size] + np.asarray(size).astype(np.uint64))
 
-    per = max(1, piece // (4 * depth))
-    asked, known = np.flatnonzero(held), np.flatnonzero(~held)
-    pieces = [known[k : k + per] for k in range(0, len(known), per)]
+    every = np.arange(len(at))
+    whole_context = context(every, np.minimum(offset, depth))
+    with np.errstate(over="ignore"):
+        pair = _mix(whole_context * np.uint64(3) + codes[at].astype(np.uint64))
+    # Equal contexts with equal next tokens are one row each: copies and shared passages don't grow the array.
+    every_asked, every_known = np.flatnonzero(held), np.flatnonzero(~held)
+    asked, asked_of = _one_of_each(pair[every_asked])
+    known, known_of = _one_of_each(pair[every_known])
+    asked, known, of_known = every_asked[asked], every_known[known], np.bincount(known_of, weight[every_known], minlength=len(known)).astype(np.int64)
+    base, known, of_known, known_base = _blocks(context, offset, asked, known, of_known, length, depth)
+
+    def suffixes(k: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Two numbers for the tokens up to the base, and the COLUMNS tokens before those."""
+        back = base[:, None] + np.arange(1, COLUMNS + 1)
+        rows = np.where((back <= offset[k][:, None]) & (back <= depth), codes[np.maximum(at[k][:, None] - back, 0)], np.uint32(0))
+        h = context(k, base)
+        return np.concatenate([(h >> np.uint64(32)).astype(np.uint32)[:, None], h.astype(np.uint32)[:, None], rows], axis=1)
+
+    per = max(1, piece // (4 * (COLUMNS + 2)))
+    pieces = [slice(k, k + per) for k in range(0, len(known), per)]
     blocks = [slice(k, k + per) for k in range(0, len(asked), per)]
-    length, whole, own = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
-    arrays = (SuffixArray(suffixes(p), codes[at[p]], weight[p]) for p in pieces)
-    arrays = list(arrays) if len(pieces) == 1 else arrays
-    for a in arrays:
+    found, whole, own = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+
+    def arrays() -> Iterator[SuffixArray]:
+        return (SuffixArray(suffixes(known[p], known_base[p]), codes[at[known[p]]], of_known[p]) for p in pieces)
+
+    kept = list(arrays()) if len(pieces) == 1 else None
+    for a in kept or arrays():
         for b in blocks:
-            length[b] = np.maximum(length[b], a.longest(suffixes(asked[b])))
-    length = np.minimum(length, offset[asked])
-    arrays = arrays if len(pieces) == 1 else (SuffixArray(suffixes(p), codes[at[p]], weight[p]) for p in pieces)
-    for a in arrays:
+            found[b] = np.maximum(found[b], base[b] + np.maximum(a.longest(suffixes(asked[b], base[b])) - 2, 0))
+    found = np.minimum(np.minimum(found, offset[asked]), depth)
+    for a in kept or arrays():
         for b in blocks:
-            w, o = a.counts(suffixes(asked[b]), length[b], codes[at[asked[b]]])
+            w, o = a.counts(suffixes(asked[b], base[b]), found[b] - base[b] + 2, codes[at[asked[b]]])
             whole[b] += w
             own[b] += o
-    answer = np.zeros(len(at), np.int64)
-    answer[asked] = length
-    on = asked[length == depth]
-    for k in range(0, len(on), per):  # training positions that a held-out one matches to the end
-        wanted = np.sort(_bytes(suffixes(on[k : k + per])))
-        for p in pieces:
-            mine = _bytes(suffixes(p))
-            answer[p] |= wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
-    every_whole, every_own = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    every_whole[asked], every_own[asked] = whole, own
+    answer, every_whole, every_own = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    answer[every_asked], every_whole[every_asked], every_own[every_asked] = found[asked_of], whole[asked_of], own[asked_of]
+    answer[every_known] = np.isin(whole_context[every_known], whole_context[asked[found == depth]])  # training positions that a held-out one matches to the end
     begin = 0
     for chunk, d in sent:
         k = slice(begin, begin + len(d["offset"]))
@@ -406,19 +497,21 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple]:
         yield held[0][by], held
 
 
-def _shard(round_: int, depth: int, piece: int):
-    """What chunks sent to a shard -> the answers for each chunk in its order of sending. Shards under 0 and those of round 0 and 1 add up counts."""
+def _shard(round_: int, piece: int):
+    """What chunks sent to a shard -> the answers for each chunk in its order of sending. Shards under 0 and those of rounds up to 2 add up counts."""
+
+    length, depth = _lengths(round_)[:2] if round_ > 2 else (0, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches, "shard"):
             sent = [(r["chunk"], unpack(r["blob"])) for r in rows]
             rows.clear()
-            if shard >= 0 and round_ > 1:
-                for chunk, answer, on in _search(sent, depth, piece):
+            if shard >= 0 and round_ > 2:
+                for chunk, answer, on in _search(sent, length, depth, piece):
                     yield _rows(_BACK, [(chunk, shard, on, 0, pack(**answer))])
                 continue
             context, count = np.concatenate([d["context"] for _, d in sent]), np.concatenate([d["count"] for _, d in sent]).astype(np.int64)
-            known, went = np.unique(context, return_inverse=True)
+            known, went = _distinct(context)
             total = np.bincount(went, count, minlength=len(known)).astype(np.int64)
             held = np.bincount(went, np.concatenate([d["held"] for _, d in sent]), minlength=len(known)) > 0
             rank = np.empty(len(known), np.int64)
@@ -439,27 +532,38 @@ def _take(rows: list[dict], names: tuple[str, ...], tallies: bool) -> dict[str,
     return {k: np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in names}
 
 
-def _ratio(own: np.ndarray, whole: np.ndarray, shorter: np.ndarray, mu) -> np.ndarray:
-    return np.where(whole > 0, (own + mu * shorter) / (whole + mu), shorter)
+def _ratio(own: np.ndarray, whole: np.ndarray, shorter: np.ndarray, escape) -> np.ndarray:
+    return np.where(whole > 0, (1 - escape) * own / np.maximum(whole, 1) + escape * shorter, shorter)
 
 
 class _State:
-    """What of a chunk is not scored yet: held-out positions and training positions of the next search, documents whose prefixes others have, and the sums so far."""
+    """What of a chunk is not scored yet: held-out positions and training positions of the next search, documents whose prefixes others have; and the sums so far of all its documents, of which `origin` are still there."""
+
+    def __init__(self, c: _Chunk, done: np.ndarray, origin: np.ndarray, asked: np.ndarray, p: np.ndarray, known: np.ndarray, alive: np.ndarray, count: np.ndarray, rest: np.ndarray, whole: np.ndarray):
+        self.c, self.done, self.origin, self.asked, self.p, self.known, self.alive, self.count, self.rest, self.whole = c, done, origin, asked, p, known, alive, count, rest, whole
 
-    def __init__(self, c: _Chunk, done: np.ndarray, asked: np.ndarray, p: np.ndarray, known: np.ndarray, alive: np.ndarray, count: np.ndarray, rest: np.ndarray):
-        self.c, self.done, self.asked, self.p, self.known, self.alive, self.count, self.rest = c, done, asked, p, known, alive, count, rest
+    def shrink(self) -> None:
+        """Leaves out the documents that are scored."""
+        c = self.c
+        docs = np.unique(np.concatenate([c.doc[self.asked], c.doc[self.known], self.alive]))
+        self.c = c.part(docs)
+        shift = np.zeros(len(c.lengths), np.int64)
+        shift[docs] = self.c.start - c.start[docs]
+        self.asked, self.known = self.asked + shift[c.doc[self.asked]], self.known + shift[c.doc[self.known]]
+        self.alive, self.origin = np.searchsorted(docs, self.alive), self.origin[docs]
 
     def save(self, folder: str, chunk: str) -> None:
         u = np.uint64
-        _save(folder, chunk, pack(done=self.done, asked=self.asked.astype(u), p=self.p, known=self.known.astype(u), alive=self.alive.astype(u), count=self.count, rest=self.rest))
+        _save(folder, chunk, pack(done=self.done, origin=self.origin.astype(u), asked=self.asked.astype(u), p=self.p, known=self.known.astype(u), alive=self.alive.astype(u), count=self.count, rest=self.rest, whole=self.whole, **self.c.arrays()))
 
     @staticmethod
-    def load(c: _Chunk, folder: str, chunk: str) -> _State:
+    def load(folder: str, chunk: str) -> _State:
         d = _load(folder, chunk)
-        return _State(c, d["done"], d["asked"].astype(np.int64), d["p"], d["known"].astype(np.int64), d["alive"].astype(np.int64), d["count"], d["rest"])
+        i = lambda k: d[k].astype(np.int64)
+        return _State(_Chunk(d), d["done"], i("origin"), i("asked"), d["p"], i("known"), i("alive"), d["count"], d["rest"], d["whole"])
 
     def add(self, positions: np.ndarray, p: np.ndarray) -> None:
-        self.done = self.done + np.bincount(self.c.doc[positions], np.log10(p), len(self.c.lengths))
+        self.done = self.done + np.bincount(self.origin[self.c.doc[positions]], np.log10(p), len(self.done))
 
     def searched(self, sent: _Stretches, positions: np.ndarray, got: dict, depth: int) -> None:
         """Takes the answers of a search: scores what has its longest match and keeps what matches to the end."""
@@ -467,7 +571,7 @@ class _State:
         entry = sent.entry[place]
         length, whole, own = got["answer"][entry], got["whole"][entry], got["own"][entry]
         on = (length == depth) & (self.c.before[self.asked] + 1 > depth)
-        self.add(self.asked[~on], _ratio(own, whole, self.p, mu_of(np.maximum(length, 1)))[~on])
+        self.add(self.asked[~on], _ratio(own, whole, self.p, escape_of(np.maximum(length, 1)))[~on])
         self.asked, self.p = self.asked[on], self.p[on]
         met = got["answer"][sent.entry[np.searchsorted(positions, self.known)]] > 0
         self.known = self.known[met & (self.c.before[self.known] + 1 > depth)]
@@ -484,7 +588,7 @@ class _State:
         left = lengths - low
         of_rest = np.cumsum(left) - left
         index = np.repeat(of_rest - begin, many) + np.arange(len(count))
-        self.add(position, _ratio(count, whole, self.rest[index], mu_of(c.before[position] + 1)))
+        self.add(position, _ratio(count, whole, self.rest[index], escape_of(c.before[position] + 1)))
         end = count[begin + many - 1] if len(docs) else np.zeros(0, np.int64)
         tail = np.maximum(lengths - high, 0)
         doc_of = np.repeat(np.arange(len(docs)), tail)
@@ -492,62 +596,69 @@ class _State:
         position = np.repeat(c.start[docs] + high - (np.cumsum(tail) - tail), tail) + np.arange(tail.sum())
         rest = self.rest[index]
         alone = (end <= 1)[doc_of]
-        self.add(position[alone], _ratio(1.0, np.ones(alone.sum()), rest[alone], mu_of(c.before[position[alone]] + 1)))
+        self.add(position[alone], _ratio(1.0, np.ones(alone.sum()), rest[alone], escape_of(c.before[position[alone]] + 1)))
         stay = (end > 1) & (tail > 0)
         self.alive, self.count, self.rest = docs[stay], end[stay], rest[~alone]
 
 
 def _first_state(c: _Chunk, count: np.ndarray, tokens: int, types: int, train_docs: int, got: dict) -> _State:
-    """Counts of words, 2-grams, 3-grams and the first prefixes -> p_2 of all positions and what is left to do."""
-    n, at = len(c.words), 0
-    grams: dict[int, np.ndarray] = {}
-    met = np.zeros(n, bool)
-    went = _first_keys(c)[2]
-    for g in (2, 3):
-        of = np.flatnonzero(c.before + 2 >= g)
-        k = went[at : at + len(of)]
-        at += len(of)
-        grams[g] = np.zeros(n, np.int64)
-        grams[g][of] = got["count"][k]
-        if g == 3:
-            met[of] = got["held"][k] > 0
+    """Counts of words, 2-grams and the first prefixes -> p_1 of all positions and what is left to do."""
+    n, went = len(c.words), _first_keys(c)[2]
+    two = got["count"][went[:n]]  # every position ends a 2-gram: with the start mark the first
+    met = got["held"][went[:n]] > 0
     uni = (count + 1) / (tokens + types + 1)
-    whole = np.r_[0, count[c.words[:-1]]] if n else np.zeros(0, np.int64)
+    whole = np.r_[0, count[c.words[:-1]]]
     whole[c.start] = train_docs
-    p = _ratio(grams[2], whole, uni[c.words], MU[1])
-    p = _ratio(grams[3], np.where(c.before > 0, np.r_[0, grams[2][:-1]], 0), p, MU[2])
-    longer = c.before + 1 >= FIRST
-    matched = longer & (np.r_[0, grams[3][:-1]] > 0)
-    asked = np.flatnonzero(matched & ~c.train)
+    p = _ratio(two, whole, uni[c.words], ESCAPE[1])
+    longer = c.before > 0
+    before = np.where(longer, np.r_[0, two[:-1]], 0)  # count of the two tokens before
+    asked = np.flatnonzero((before > 0) & ~c.train)
     known = np.flatnonzero(longer & c.train & np.r_[False, met[:-1]])
-    state = _State(c, np.zeros(len(c.lengths)), asked, p[asked], known, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    final = np.flatnonzero(~matched & ~c.train | c.train & ~longer)
+    none = np.zeros(0, np.int64)
+    state = _State(c, np.zeros(len(c.lengths)), np.arange(len(c.lengths)), asked, p[asked], known, none, none, np.zeros(0), before[asked])
+    final = np.flatnonzero((before == 0) & ~c.train | c.train & ~longer)
     state.add(final, p[final])
-    # Training documents: the prefix of two words is the 3-gram of position 1.
-    state.alive = np.flatnonzero(~c.held & (c.lengths > FIRST - 1))
-    state.count = grams[3][c.start[state.alive] + 1]
-    left = c.lengths[state.alive] - (FIRST - 1)
-    state.rest = p[np.repeat(c.start[state.alive] + FIRST - 1 - (np.cumsum(left) - left), left) + np.arange(left.sum())]
-    row = c.prefixes(state.alive, FIRST - 1, KNOWN)[0]
-    state.prefixed(row, got["count"][went[at:]], FIRST - 1, KNOWN)
+    # Training documents: the prefix of one word is the 2-gram of position 0.
+    state.alive = np.flatnonzero(~c.held & (c.lengths > 1))
+    state.count = two[c.start[state.alive]]
+    left = c.lengths[state.alive] - 1
+    state.rest = p[np.repeat(c.start[state.alive] + 1 - (np.cumsum(left) - left), left) + np.arange(left.sum())]
+    row = c.prefixes(state.alive, 1, KNOWN)[0]
+    state.prefixed(row, got["count"][went[n:]], 1, KNOWN)
     return state
 
 
 def _first_keys(c: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """2-grams, 3-grams and the first prefixes of training documents, added up."""
-    two, three = c.grams(2), c.grams(3)
-    docs = np.flatnonzero(~c.held & (c.lengths > FIRST - 1))
-    first = c.prefixes(docs, FIRST - 1, KNOWN)
-    known, count, held, went = _tally(np.concatenate([two[1], three[1], first[2]]), np.concatenate([c.train[two[0]], c.train[three[0]], np.ones(len(first[2]))]).astype(np.float64))
+    """2-grams and the first prefixes of training documents, added up."""
+    first = c.prefixes(np.flatnonzero(~c.held & (c.lengths > 1)), 1, KNOWN)[2]
+    known, count, held, went = _tally(np.concatenate([c.grams(2), first]), np.concatenate([c.train, np.ones(len(first))]).astype(np.float64))
     return known, count, went, held
 
 
+def _triples(state: _State) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, and _tally of the 3-grams that end there): those of the held-out positions whose two tokens before occur in training, and of the training ones whose two a held-out one has."""
+    positions = np.sort(np.concatenate([state.asked, state.known]))
+    end = state.c.at(positions) + 1
+    return positions, *_tally(state.c.hashes_of(end - 3, end), state.c.train[positions].astype(np.float64))
+
+
+def _tripled(state: _State, got: dict) -> None:
+    """Takes the counts of 3-grams: scores what has no longer context than two tokens; the rest goes on."""
+    positions, *_, went = _triples(state)
+    count, held = np.zeros(len(state.c.words) + 1, np.int64), np.zeros(len(state.c.words) + 1, bool)
+    count[positions], held[positions] = got["count"][went], got["held"][went] > 0  # others end no 3-gram that matters
+    on = (count[state.asked - 1] > 0) & (state.c.before[state.asked] > 1)
+    state.add(state.asked[~on], _ratio(count[state.asked], state.whole, state.p, ESCAPE[2])[~on])
+    state.asked, state.p, state.whole = state.asked[on], state.p[on], np.zeros(0, np.int64)
+    state.known = state.known[held[state.known - 1] & (state.c.before[state.known] > 1)]
+
+
 def _round(folder: str, round_: int, shards: int, wide: int, tokens: int, types: int, train_docs: int, search_shards: tuple[int, int]):
-    """Answers of the round before -> state files, and what is sent in this one. Round 1 sends n-grams, later ones stretches and prefixes."""
+    """Answers of the round before -> state files, and what is sent in this one: 2-grams, 3-grams, then stretches and prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _groups(batches, "chunk"):
-            c = _Chunk(folder, chunk)
+            c = _Chunk(_load(f"{folder}/text", chunk)) if round_ < 3 else None
             if round_ == 1:
                 got = _take(rows, ("rank", "count"), False)
                 hashes = np.r_[c.hashes, _END]
@@ -556,28 +667,38 @@ def _round(folder: str, round_: int, shards: int, wide: int, tokens: int, types:
                 ids[order], count[order] = got["rank"] * shards + shard[order], got["count"]
                 uni = (count + 1) / (tokens + types + 1)
                 score = np.bincount(c.doc, np.log10(uni)[c.words], len(c.lengths))
-                _save(folder, f"{chunk}.base", pack(ids=ids, count=count, known=np.bincount(c.doc, count[c.words] > 0, len(c.lengths)).astype(np.int64), base=score))
+                _save(f"{folder}/ids", chunk, pack(ids=ids, count=count))
+                _save(f"{folder}/base", chunk, pack(lengths=c.lengths, held=c.held.astype(np.uint8), known=np.bincount(c.doc, count[c.words] > 0, len(c.lengths)).astype(np.int64), base=score))
+                c.name(ids)
                 known, count, _, held = _first_keys(c)
                 yield from _send_tally(known, count, held, shards, chunk)
                 continue
-            base = _load(folder, f"{chunk}.base", ("ids", "count"))
-            c.name(base["ids"])
-            if round_ == 2:
+            if round_ == 2:  # after 2-grams
+                base = _load(f"{folder}/ids", chunk)
+                c.name(base["ids"])
                 state = _first_state(c, base["count"], tokens, types, train_docs, _take(rows, ("count", "held"), False))
+            elif round_ == 3:  # after 3-grams
+                state = _State.load(f"{folder}/2", chunk)
+                _tripled(state, _take(rows, ("count", "held"), False))
             else:
-                state = _State.load(c, f"{folder}/{round_ - 1}", chunk)
+                state = _State.load(f"{folder}/{round_ - 1}", chunk)
                 length, depth, low, high = _lengths(round_ - 1)
                 positions = np.sort(np.concatenate([state.asked, state.known]))
-                state.searched(_Stretches(c, length, depth, positions, search_shards[0]), positions, _take(rows, ("answer", "whole", "own"), False), depth)
-                row, _, keys = c.prefixes(state.alive, low, high)
+                state.searched(_Stretches(state.c, length, depth, positions, search_shards[0]), positions, _take(rows, ("answer", "whole", "own"), False), depth)
+                row, _, keys = state.c.prefixes(state.alive, low, high)
                 state.prefixed(row, _take(rows, ("count",), True)["count"][_tally(keys, np.ones(len(keys)))[3]], low, high)
+            state.shrink()
             state.save(f"{folder}/{round_}", chunk)
+            if round_ == 2:
+                _, known, count, held, _ = _triples(state)
+                yield from _send_tally(known, count, held, shards, chunk)
+                continue
             length, depth, low, high = _lengths(round_)
             positions = np.sort(np.concatenate([state.asked, state.known]))
-            if len(state.asked) or len(state.known):
-                yield from _Stretches(c, length, depth, positions, search_shards[1]).send(chunk)
+            if len(positions):
+                yield from _Stretches(state.c, length, depth, positions, search_shards[1]).send(chunk)
             if len(state.alive):
-                keys = c.prefixes(state.alive, low, high)[2]
+                keys = state.c.prefixes(state.alive, low, high)[2]
                 known, count, held, _ = _tally(keys, np.ones(len(keys)))
                 yield from _send_tally(known, count, held, wide, chunk, -wide)
 
@@ -585,8 +706,8 @@ def _round(folder: str, round_: int, shards: int, wide: int, tokens: int, types:
 
 
 def _lengths(round_: int) -> tuple[int, int, int, int]:
-    """Of rounds from 2: tokens that match before and at most after it, words of prefixes that are known before and after it."""
-    k = round_ - 2
+    """Of rounds from 3: tokens that match before and at most after it, words of prefixes that are known before and after it."""
+    k = round_ - 3
     return (FIRST if k == 0 else KNOWN * STEP**k), KNOWN * STEP ** (k + 1), KNOWN * STEP**k, KNOWN * STEP ** (k + 1)
 
 
@@ -601,7 +722,7 @@ def _words(folder: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk in b.column("chunk").to_pylist():
-                c = _Chunk(folder, chunk)
+                c = _Chunk(_load(f"{folder}/text", chunk))
                 hashes = np.r_[c.hashes, _END]
                 count = np.bincount(c.words[c.train], minlength=len(hashes)).astype(np.int64)
                 order = np.argsort(hashes, kind="stable")
@@ -617,11 +738,11 @@ def _finish(folder: str, length: int, tokens: int):
         for b in batches:
             for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("keys").to_pylist()):
                 keys = pa.ipc.open_stream(raw).read_all().column("key").combine_chunks()
-                d, base = _load(folder, chunk, ("lengths", "held")), _load(folder, f"{chunk}.base", ("known", "base"))
+                base = _load(f"{folder}/base", chunk)
                 done = _load(f"{folder}/{length}", chunk, ("done",))["done"]
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(d["held"].astype(bool)), pa.array(d["lengths"]), pa.array(base["known"]), pa.array(np.full(n, tokens, np.int64)), pa.array(base["base"]), pa.array(done)],
+                    [keys, pa.array(base["held"].astype(bool)), pa.array(base["lengths"]), pa.array(base["known"]), pa.array(np.full(n, tokens, np.int64)), pa.array(base["base"]), pa.array(done)],
                     ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -635,7 +756,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     folder = new_path(spark, "ngram")
     kind = dict(docs.dtypes)[key]
     out_of = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), out_of.alias("held"))
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), out_of.alias("held"))
     manifest = written(narrow.mapInArrow(_tokenise(folder, chunk), "chunk string, n long, trained long, keys binary"), "chunks")
     total = manifest.agg(F.sum("n"), F.count(F.lit(1)), F.sum("trained")).first()
     if not total[0]:
@@ -644,29 +765,28 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     shards = max(min(wide, -(-total[0] // 1000)), -(-total[0] // shard))
     listed = manifest.select("chunk").repartition(min(total[1], 4 * wide), "chunk")
 
-    def answers(sent: DataFrame, round_: int, depth: int, tasks: int) -> DataFrame:
-        return written(sent.repartition(max(1, min(tasks, 8 * wide)), "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_shard(round_, depth, piece), _BACK_SQL), f"answers-{round_}")
+    def answers(sent: DataFrame, round_: int, tasks: int) -> DataFrame:
+        return written(sent.repartition(max(1, min(tasks, 8 * wide)), "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_shard(round_, piece), _BACK_SQL), f"answers-{round_}")
 
-    back = answers(listed.mapInArrow(_words(folder, shards), _SENT_SQL), 0, 0, shards)
+    back = answers(listed.mapInArrow(_words(folder, shards), _SENT_SQL), 0, shards)
     sums = back.groupBy("shard").agg(F.first("types").alias("v"), F.first("tokens").alias("n")).agg(F.sum("v"), F.sum("n")).first()
     types, tokens = sums[0], sums[1]
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("shard", "long"), ("types", "long"), ("tokens", "long"), ("blob", "binary"))]
     round_, before, now = 1, 0, 0
     while True:
         every = back.unionByName(manifest.select("chunk", *nothing))
-        depth = _lengths(round_)[1] if round_ > 1 else 0
-        if round_ == 2:
-            now = max(min(wide, -(-total[0] // 1000)), -(-total[0] * depth * 4 // (16 * piece)))  # a sixteenth of the positions, as a guess that only sizes shards
-        elif round_ > 2:
+        if round_ == 3:
+            now = max(min(wide, -(-total[0] // 1000)), -(-total[0] // (8 * SEARCHED)))  # an eighth of the positions, as a guess that only sizes shards
+        elif round_ > 3:
             on = back.where("shard >= 0").agg(F.sum("types")).first()[0] or 0
-            now = max(min(wide, -(-on // 100)), -(-on * depth * 4 // piece), 1)
+            now = max(min(wide, -(-on // 100)), -(-on // SEARCHED), 1)
         sent = every.repartition(min(max(total[1], 1), 4 * wide), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_round(folder, round_, shards, wide, tokens, types, total[2], (before, now)), _SENT_SQL)
-        following = answers(sent, round_, depth, shards if round_ == 1 else max(now, wide))
+        following = answers(sent, round_, shards if round_ < 3 else max(now, wide))
         drop_written(back)
-        if round_ > 2:
-            drop_folder(spark, f"{folder}/{round_ - 1}")  # the round that read this state is written
+        for gone in ("text", "ids") if round_ == 2 else (str(round_ - 1),) if round_ > 2 else ():
+            drop_folder(spark, f"{folder}/{gone}")  # the round that read it last is written
         back, before = following, now
-        if round_ > 1 and back.isEmpty():
+        if round_ > 2 and back.isEmpty():
             break
         round_ += 1
     drop_written(back)

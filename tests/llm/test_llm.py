@@ -246,11 +246,11 @@ def plain_score(rows):
             p = (count.get(w, 0) + 1) / (n + v + 1)
             base += math.log10(p)
             best = max((k for k in range(1, j + 2) if tuple(full[j + 1 - k : j + 1]) in nexts), default=0)
-            for k in sorted({1, 2, best}):
+            for k in sorted({1, best}):
                 seen = nexts.get(tuple(full[j + 1 - k : j + 1]), {}) if 0 < k <= j + 1 else {}
                 if whole := sum(seen.values()):
-                    mu = ngram.MU.get(k) or float(ngram.mu_of(k))
-                    p = (seen.get(w, 0) + mu * p) / (whole + mu)
+                    escape = ngram.ESCAPE.get(k) or float(ngram.escape_of(k))
+                    p = (1 - escape) * seen.get(w, 0) / whole + escape * p
             lengths.add(best)
             total += math.log10(p)
         out.append((i, len(s), sum(w in count for w in s), n, round(base, 6), round(total, 6)))
@@ -281,10 +281,13 @@ def test_ngram(spark, sample):
 def test_suffix_array_against_all_contexts():
     """Longest match and counts of one array and of many pieces, against trying every length."""
     rng = random.Random(5)
-    for piece in (1 << 20, 64):
+    for depth, piece in ((16, 1 << 20), (16, 200), (64, 1 << 20), (64, 500)):
         sent, truth, train = [], [], []
+        shared = [rng.randrange(1, 5) for _ in range(90)]
         for c in range(3):
             text = [[rng.randrange(1, 5) for _ in range(rng.randrange(2, 40))] for _ in range(20)]
+            text += [t[: rng.randrange(2, len(t) + 1)] + [rng.randrange(1, 5)] * rng.randrange(3) for t in text * (depth // 16)]
+            text += [[rng.randrange(1, 5) for _ in range(rng.randrange(1, 30))] + shared[: rng.randrange(2, 90)] for _ in range(20)]
             held = [rng.random() < 0.4 for _ in text]
             offset = [sorted(rng.sample(range(1, len(t)), min(3, len(t) - 1))) for t in text]
             weight = [rng.randrange(1, 4) for _ in text]
@@ -293,15 +296,15 @@ def test_suffix_array_against_all_contexts():
             sent.append((str(c), {"tokens": np.array(sum(text, []), np.int64), "size": np.array([len(t) for t in text]), "entries": np.array([len(o) for o in offset]), "offset": np.array(sum(offset, [])), "weight": np.array(weight), "held": np.array(held)}))
             for t, h, o, w in zip(text, held, offset, weight):
                 for k in o:
-                    truth.append((str(c), h, tuple(t[:k][::-1][:16]), t[k], w))
+                    truth.append((str(c), h, tuple(t[:k][::-1][:depth]), t[k], w))
                     if not h:
-                        train.append((tuple(t[:k][::-1][:16]), t[k], w))
-        got = [(chunk, *x) for chunk, a, _ in ngram._search(sent, 16, piece) for x in zip(a["answer"], a["whole"], a["own"])]
-        full = {c for _, h, c, _, _ in truth if h and len(c) == 16}
+                        train.append((tuple(t[:k][::-1][:depth]), t[k], w))
+        got = [(chunk, *x) for chunk, a, _ in ngram._search(sent, 0, depth, piece) for x in zip(a["answer"], a["whole"], a["own"])]
+        full = {c for _, h, c, _, _ in truth if h and len(c) == depth}
         for (chunk, h, context, nxt, _), g in zip(truth, got):
             assert g[0] == chunk
             if not h:
-                assert (g[1] > 0) == (context in full)
+                assert (g[1] > 0) == (context in full and any(x == context for x, _, _ in train))
                 continue
             best = max(k for k in range(len(context) + 1) if any(x[:k] == context[:k] for x, _, _ in train))
             like = [(y, w) for x, y, w in train if x[:best] == context[:best]]
@@ -453,3 +456,72 @@ def test_near_dedup_recall(spark):
     for s in range(1, 4):
         mine = [found[g] for g in true if g % 4 == s and true[g]]
         assert len(mine) >= 50 and sum(mine) >= 0.9 * len(mine), (s, sum(mine), len(mine))
+
+
+def test_mined_rules_against_a_plain_miner(spark):
+    """The surest rule of every token set, found by trying all sets, gives the same verdicts."""
+    from itertools import combinations
+
+    rng = random.Random(14)
+    url = lambda: f"http://{rng.choice(['a', 'bet', 'c'])}.{rng.choice(['org', 'net'])}/{rng.choice(['x', 'win', 'y'])}"
+    labelled = [(u := url(), "block" if ("bet" in u) + ("win" in u) + (rng.random() < 0.25) >= 1 else "allow") for _ in range(70)]
+    asked = sorted({url() for _ in range(60)} | {"http://new.org/win", "ftp://bet.net/q", "none"})
+    of = {r["url"]: frozenset(r["t"]) for r in spark.createDataFrame([(u,) for u in {*asked, *(x for x, _ in labelled)}], "url string").select("url", urls.tokens(F.col("url")).alias("t")).collect()}
+    seen = {}
+    for u, v in labelled:
+        for k in range(1, len(of[u]) + 1):
+            for c in combinations(sorted(of[u]), k):
+                seen.setdefault(c, {}).setdefault(v, 0)
+                seen[c][v] += 1
+    for least in (3, 9):
+        rules = [(frozenset(c), v, n / sum(by.values()), n) for c, by in seen.items() for v, n in by.items() if n >= least and n / sum(by.values()) >= 0.7]
+        want = {}
+        for u in asked:
+            fit = [(conf, n, v == "allow", v) for c, v, conf, n in rules if c <= of[u]]
+            if fit:
+                want[u] = max(fit)[3]
+        mined = urls.mine(spark.createDataFrame(labelled, "url string, verdict string"), 0.005, 0.7, least)
+        got = {r["url"]: r["mined"] for r in urls.match(spark.createDataFrame([(u,) for u in asked], "url string"), mined).collect()}
+        assert got == want
+
+
+def test_empty_tables(spark):
+    conv = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.conversations(chat.replies(conv)).count() == 0
+    import public_tokenizers
+
+    assert bpe.token_counts(docs(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(none, [], spark.createDataFrame([("http://a/b", "allow")], "url string, verdict string")).count() == 0
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    """Empty table; null ids, repeated rows, ties and clashing columns; every stage against plain versions of its rule."""
+    import corpus_pipeline
+
+    b = spark.createDataFrame([(1, prose(25))], "item_id long, text string")
+    for name, rows in (("none", []), ("some", None)):
+        at = tmp_path / name
+        rng = random.Random(17)
+        words = [f"{a}{c}" for a in ("tha", "ring", "lo", "mer", "an", "sted") for c in ("one", "two", "ish", "er", "ly", "ness", "ward")]
+        if rows is None:
+            clean = [prose(120, rng, words) for _ in range(8)]
+            rows = [*enumerate(clean), (3, clean[3]), (4, clean[5] + " " + prose(3, rng, words)), (None, clean[6]), (None, None), (40, clean[7])]
+        docs(spark, rows).withColumnRenamed("extra", "kept").write.parquet(str(at / "documents.parquet"))
+        b.write.parquet(str(at / "benchmark.parquet"))
+        d = spark.read.parquet(str(at / "documents.parquet"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+            d = stage(spark, d, str(at))
+            assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"] and {r["kept"] for r in d.collect()} <= {"clash"}
+            if k == 1 and rows:
+                # Groups by plain Jaccard over all pairs; of each the smallest id stays, rows without an id stay as they are.
+                sets = [set(simhash.shingles((t or "").encode(), 5)) for _, t in rows]
+                group = list(range(len(rows)))
+                for i in range(len(rows)):
+                    for j in range(i):
+                        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                            group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+                want = sorted([min(rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None and rows[i][1]) for g in {group[i] for i in range(len(rows)) if rows[i][0] is not None and rows[i][1]}] + [-1])
+                assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in d.collect()) == want
+        out = corpus_pipeline.run(spark, str(at)).collect()
+        assert bool(out) == bool(rows)

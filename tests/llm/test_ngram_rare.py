@@ -32,11 +32,11 @@ def plain_score(rows):
         for j, w in enumerate(s):
             p = (count.get(w, 0) + 1) / (total + kinds + 1)
             longest = max((n for n in range(1, j + 2) if tuple(full[j + 1 - n : j + 1]) in nexts), default=0)
-            for n in sorted({1, 2, longest}):
+            for n in sorted({1, longest}):
                 seen = nexts.get(tuple(full[j + 1 - n : j + 1])) if 1 <= n <= j + 1 else None
                 if seen:
-                    mu = ngram.MU.get(n) or float(ngram.mu_of(n))
-                    p = (seen.get(w, 0) + mu * p) / (sum(seen.values()) + mu)
+                    escape = ngram.ESCAPE.get(n) or float(ngram.escape_of(n))
+                    p = (1 - escape) * seen.get(w, 0) / sum(seen.values()) + escape * p
             got += math.log10(p)
         out[i] = got
     return out
