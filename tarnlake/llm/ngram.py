@@ -14,7 +14,7 @@ send them to shards by their hash: an n-gram that a third of all positions share
 is one row a chunk, and no shard is larger than another.
 
 Long contexts of held-out documents: a round takes positions whose last R tokens
-are known to match (R = 3, 16, 64, 256, ...) to R' = 16, 64, 256, ... tokens. A
+are known to match (R = 3, 8, 32, 128, ...) to R' = 8, 32, 128, ... tokens. A
 shard gets, as token ids, the text before those positions and before the training
 positions that some held-out position matches so far. It sorts the training ones
 by their tokens read backwards (a suffix array, cut into pieces of bounded size;
@@ -68,7 +68,7 @@ FOLDS, HELD = 7, 2
 ESCAPE = {1: 0.4, 2: 0.5}  #: share of p_0 after contexts of one token, of p_1 after longest contexts of two
 COLUMNS, SEARCHED = 16, 250_000  #: tokens that a suffix array sorts by; positions that a shard searches
 PIECE = 24 << 20  #: bytes of suffixes that a piece of a shard's suffix array has at most
-FIRST, KNOWN, STEP = 3, 4, 4  #: tokens that match before the first round, words of prefixes that are counted before it, growth of both
+FIRST, DEPTH, KNOWN, STEP = 3, 8, 4, 4  #: tokens that match before the first search and at most after it, words of prefixes that are counted before it, growth of both
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _BASE = 0x9E3779B97F4A7C15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -218,19 +218,22 @@ class _Chunk:
         self.before = np.arange(len(self.words)) - np.repeat(self.start, self.lengths)  # words of the document before this one
         self.ids: np.ndarray | None = None
         if "ids" in d:
-            self.name(d["ids"])
+            self.name(d["ids"].astype(np.int64))
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"words": self.words, "lengths": self.lengths, "held": self.held.astype(np.uint8), "ids": self.ids}
+        return {"words": self.words, "lengths": self.lengths, "held": self.held.astype(np.uint8), "ids": self.ids.astype(np.uint64)}
 
     def part(self, docs: np.ndarray) -> _Chunk:
-        """These documents alone, with their own words; the end token stays the last."""
+        """These documents alone, with their own words."""
         on = np.zeros(len(self.lengths), bool)
         on[docs] = True
         words = self.words[on[self.doc]]
         used = np.zeros(len(self.ids), bool)
-        used[words] = used[-1] = True
-        place = (np.cumsum(used) - 1).astype(np.int32)
+        used[words] = True
+        used = np.flatnonzero(used)
+        used = used[np.argsort(self.ids[used])]  # in the order of ids, whose differences are small
+        place = np.empty(len(self.ids), np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
         return _Chunk({"words": place[words], "lengths": self.lengths[docs], "held": self.held[docs], "ids": self.ids[used]})
 
     def name(self, ids: np.ndarray) -> None:
@@ -553,14 +556,15 @@ class _State:
         self.alive, self.origin = np.searchsorted(docs, self.alive), self.origin[docs]
 
     def save(self, folder: str, chunk: str) -> None:
+        """p_1 of what is left rests in single precision."""
         u = np.uint64
-        _save(folder, chunk, pack(done=self.done, origin=self.origin.astype(u), asked=self.asked.astype(u), p=self.p, known=self.known.astype(u), alive=self.alive.astype(u), count=self.count, rest=self.rest, whole=self.whole, **self.c.arrays()))
+        _save(folder, chunk, pack(done=self.done, origin=self.origin.astype(u), asked=self.asked.astype(u), p=self.p.astype(np.float32), known=self.known.astype(u), alive=self.alive.astype(u), count=self.count, rest=self.rest.astype(np.float32), whole=self.whole, **self.c.arrays()))
 
     @staticmethod
     def load(folder: str, chunk: str) -> _State:
         d = _load(folder, chunk)
         i = lambda k: d[k].astype(np.int64)
-        return _State(_Chunk(d), d["done"], i("origin"), i("asked"), d["p"], i("known"), i("alive"), d["count"], d["rest"], d["whole"])
+        return _State(_Chunk(d), d["done"], i("origin"), i("asked"), d["p"].astype(np.float64), i("known"), i("alive"), d["count"], d["rest"].astype(np.float64), d["whole"])
 
     def add(self, positions: np.ndarray, p: np.ndarray) -> None:
         self.done = self.done + np.bincount(self.origin[self.c.doc[positions]], np.log10(p), len(self.done))
@@ -708,7 +712,7 @@ def _round(folder: str, round_: int, shards: int, wide: int, tokens: int, types:
 def _lengths(round_: int) -> tuple[int, int, int, int]:
     """Of rounds from 3: tokens that match before and at most after it, words of prefixes that are known before and after it."""
     k = round_ - 3
-    return (FIRST if k == 0 else KNOWN * STEP**k), KNOWN * STEP ** (k + 1), KNOWN * STEP**k, KNOWN * STEP ** (k + 1)
+    return (FIRST if k == 0 else DEPTH * STEP ** (k - 1)), DEPTH * STEP**k, KNOWN * STEP**k, KNOWN * STEP ** (k + 1)
 
 
 def _spread(hashes: np.ndarray, shards: int) -> np.ndarray:
