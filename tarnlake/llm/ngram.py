@@ -14,22 +14,28 @@ send them to shards by their hash: an n-gram that a third of all positions share
 is one row a chunk, and no shard is larger than another.
 
 Long contexts of held-out documents: a round takes positions whose last R tokens
-are known to match (R = 3, 8, 32, 128, ...) to R' = 8, 32, 128, ... tokens. A
+are known to match (R = 3, 8, 64, 256, ...) to R' = 8, 64, 256, ... tokens. A
 shard gets, as token ids, the text before those positions and before the training
 positions that some held-out position matches so far. It sorts the training ones
 by their tokens read backwards (a suffix array, cut into pieces of bounded size;
 beyond COLUMNS tokens the whole blocks that match are found first, by hash),
 binary-searches each held-out position in every piece, compares tokens with both
 neighbours, takes the longest match over all pieces, and sums the counts of that
-context and of its next token over the pieces. What matches all R' tokens goes to
-the next round. Positions go to a shard by an anchor: of the blocks of tokens
-within their last R the one of least hash, which whoever shares these tokens
-picks too. Neighbouring positions mostly have one anchor and share one stretch of
-text, so a position sends about a dozen tokens at every length.
+context and of its next token over the pieces. Positions go to a shard by an
+anchor: of the blocks of tokens within their last R the one of least hash, which
+whoever shares these tokens picks too. Neighbouring positions mostly have one
+anchor, or anchors alike, and share one stretch of text.
+
+What matches all R' tokens goes on only while its share is open. The longest
+context occurs among the contexts of R' tokens; if all of those have the position's
+token next, or none has, so has it. Then only its length is missing, which is the
+position before's plus one, and from SETTLED tokens on not even that. So the next
+round searches positions between these shares and the ones right after them, and
+the text of copies is not sent at every length.
 
 Long contexts of training documents: the longest context of a position is all of
 its document so far, which occurs there. Its counts are counts of prefixes; a
-document sends its prefixes up to 4, 16, 64, ... words while another has them.
+document sends its prefixes up to 8, 64, 512, ... words while another has them.
 
 Layout: a map task turns its documents into chunks of about CHUNK tokens, files in
 the shared folder under a new name for each attempt; only chunks listed in the
@@ -68,15 +74,19 @@ FOLDS, HELD = 7, 2
 ESCAPE = {1: 0.4, 2: 0.5}  #: share of p_0 after contexts of one token, of p_1 after longest contexts of two
 COLUMNS, SEARCHED = 16, 250_000  #: tokens that a suffix array sorts by; positions that a shard searches
 PIECE = 24 << 20  #: bytes of suffixes that a piece of a shard's suffix array has at most
-FIRST, DEPTH, KNOWN, STEP = 3, 8, 4, 4  #: tokens that match before the first search and at most after it, words of prefixes that are counted before it, growth of both
+DEPTHS, STEP = (3, 8, 64), 4  #: tokens that match before the first search, after it, after the next (powers of two); then by this factor
+KNOWN, WIDER = 8, 8  #: words of prefixes that are counted before the first search; their growth
+LEAST = 0.02  #: share of p_1 after the longest contexts of all
+SETTLED = 50  #: tokens from which on the share is LEAST, however long the context
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _BASE = 0x9E3779B97F4A7C15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def escape_of(length: np.ndarray) -> np.ndarray:
     """Share of p_1 after longest contexts of three tokens and more: the longer the match, the less."""
-    return np.maximum(0.02, 1.0 / np.maximum(np.asarray(length, np.float64), 1.0))
+    return np.maximum(LEAST, 1.0 / np.maximum(np.asarray(length, np.float64), 1.0))
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -87,15 +97,17 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays with their bytes in planes, compressed; sorted unsigned ones as differences."""
+    """Arrays with their bytes in planes, those that are 0 throughout left out, compressed; sorted unsigned ones as differences."""
     head, body = [], io.BytesIO()
     for name, a in arrays.items():
         a = np.ascontiguousarray(a)
         delta = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
         data = np.diff(a, prepend=np.uint64(0)) if delta else a
-        planes = data.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-        raw = zstandard.ZstdCompressor(level=1).compress(planes)
-        head.append([name, a.dtype.str, len(a), delta, len(raw)])
+        size = a.dtype.itemsize
+        used = -(-int(data.max()).bit_length() // 8) if len(a) and a.dtype.kind in "ui" and int(data.min()) >= 0 else size
+        columns = data.view(np.uint8).reshape(len(a), size)
+        raw = _ZIP.compress(b"".join(columns[:, k].tobytes() for k in range(used)))
+        head.append([name, a.dtype.str, len(a), delta, used, len(raw)])
         body.write(raw)
     h = json.dumps(head).encode()
     return len(h).to_bytes(4, "little") + h + body.getvalue()
@@ -104,12 +116,15 @@ def pack(**arrays: np.ndarray) -> bytes:
 def unpack(raw: bytes, only: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
     n, out = int.from_bytes(raw[:4], "little"), {}
     at = 4 + n
-    for name, kind, length, delta, size in json.loads(raw[4 : 4 + n]):
+    for name, kind, length, delta, used, size in json.loads(raw[4 : 4 + n]):
         if not only or name in only:
             dtype = np.dtype(kind)
-            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[at : at + size]) if length else b"", np.uint8)
-            a = np.ascontiguousarray(planes.reshape(dtype.itemsize, length).T).view(dtype).reshape(length)
-            out[name] = np.cumsum(a, dtype=np.uint64) if delta else a
+            planes = np.frombuffer(_UNZIP.decompress(raw[at : at + size]) if length and used else b"", np.uint8).reshape(used, length if used else 0)
+            word = np.dtype(f"<u{dtype.itemsize}")
+            a = planes[0].astype(word) if used else np.zeros(length, word)
+            for k in range(1, used):
+                a |= planes[k].astype(word) << word.type(8 * k)
+            out[name] = np.cumsum(a, dtype=np.uint64) if delta else a.view(dtype)
         at += size
     return out
 
@@ -154,7 +169,7 @@ def _tokenise(folder: str, size: int):
             chunk = uuid.uuid4().hex
             digest = xxhash.xxh64_intdigest
             coded = pa.concat_arrays(parts).dictionary_encode()
-            hashes = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+            hashes = np.fromiter(map(digest, coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
             hashes[hashes == _END] ^= np.uint64(1)
             order = np.argsort(hashes)
             place = np.empty(len(order), np.int32)
@@ -198,13 +213,22 @@ def _tokenise(folder: str, size: int):
     return run
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ...: n of them at least; the longest so far is kept."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, 1) - 1, np.uint64(base))])
+    return _POWERS[base]
+
+
 def _rolling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of hash * base^place, and base^-place: sums[j] - sums[i], times inverse[i], is the hash of i..j wherever it stands."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, len(x) - 1), np.uint64(_BASE))])[: len(x)]
-        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), np.uint64(inverse))])
-        return np.r_[np.uint64(0), np.cumsum(x * power, dtype=np.uint64)], back
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * _powers(_BASE, len(x))[: len(x)], out=sums[1:])
+    return sums, _powers(pow(_BASE, -1, 1 << 64), len(x) + 1)
 
 
 class _Chunk:
@@ -298,10 +322,12 @@ def _tally(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _send_tally(known: np.ndarray, count: np.ndarray, held: np.ndarray, shards: int, chunk: str, base: int = 0) -> Iterator[pa.RecordBatch]:
-    bounds = np.searchsorted(_spread(known, shards), np.arange(shards + 1))
+    bounds, rows = np.searchsorted(_spread(known, shards), np.arange(shards + 1)), []
     for s in np.flatnonzero(np.diff(bounds)):
         k = slice(bounds[s], bounds[s + 1])
-        yield _rows(_SENT, [(base + int(s), chunk, pack(context=known[k], count=count[k].astype(np.uint32), held=held[k].astype(np.uint8)))])
+        rows.append((base + int(s), chunk, pack(context=known[k], count=count[k].astype(np.uint32), held=held[k].astype(np.uint8))))
+    if rows:
+        yield _rows(_SENT, rows)
 
 
 class _Stretches:
@@ -323,7 +349,9 @@ class _Stretches:
             best = np.r_[best[:step], np.where(least[left] < least[own], left, own)]
             step *= 2
         anchor = best[np.searchsorted(ends, place)]
-        new = np.r_[True, anchor[1:] != anchor[:-1]] if len(anchor) else np.zeros(0, bool)
+        # Neighbours with one anchor, or with anchors alike, as in text that repeats itself, share a stretch.
+        beside = (c.doc[positions[1:]] == c.doc[positions[:-1]]) & (place[1:] - place[:-1] < depth)
+        new = np.r_[True, ~beside | (least[anchor[1:]] != least[anchor[:-1]])] if len(anchor) else np.zeros(0, bool)
         of, first = np.cumsum(new) - 1, np.flatnonzero(new)
         last = np.r_[first[1:], len(anchor)][: len(first)] - 1
         docs = c.doc[positions[first]]
@@ -346,13 +374,16 @@ class _Stretches:
         self.bounds = np.searchsorted(shard[one], np.arange(shards + 1))
 
     def send(self, chunk: str) -> Iterator[pa.RecordBatch]:
+        rows = []
         for s in np.flatnonzero(np.diff(self.bounds)):
             k = slice(self.bounds[s], self.bounds[s + 1])
             low, size, many = self.low[k], self.high[k] - self.low[k], self.last[k] - self.first[k] + 1
             text = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
             at = np.repeat(self.first[k] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             blob = pack(tokens=self.c.sequence[text].astype(np.int64), size=size.astype(np.uint32), entries=many.astype(np.uint32), offset=self.offset[at].astype(np.uint32), weight=self.weight[k].astype(np.uint32), held=self.c.held[self.docs[k]].astype(np.uint8))
-            yield _rows(_SENT, [(int(s), chunk, blob)])
+            rows.append((int(s), chunk, blob))
+        if rows:
+            yield _rows(_SENT, rows)
 
 
 class SuffixArray:
@@ -424,15 +455,16 @@ def _blocks(context, offset: np.ndarray, asked: np.ndarray, known: np.ndarray, w
     return base, known[row], weight[row], at
 
 
-def _search(sent: list[tuple[str, dict]], length: int, depth: int, piece: int) -> Iterator[tuple[str, dict, int]]:
-    """(chunk, its answers in the order of sending, positions among them that match all `depth` tokens)."""
+def _search(sent: list[tuple[str, dict]], length: int, depth: int, piece: int, open_only: bool = False) -> Iterator[tuple[str, dict, int]]:
+    """(chunk, its answers in the order of sending, positions among them that match all `depth` tokens). open_only: of the training positions those alone that a held-out one matches whose share is open."""
     tokens = np.concatenate([d["tokens"] for _, d in sent])
     size, many = np.concatenate([d["size"] for _, d in sent]).astype(np.int64), np.concatenate([d["entries"] for _, d in sent]).astype(np.int64)
     offset = np.concatenate([d["offset"] for _, d in sent]).astype(np.int64)
     at = np.repeat(np.cumsum(size) - size, many) + offset
     weight = np.repeat(np.concatenate([d["weight"] for _, d in sent]), many).astype(np.int64)
     held = np.repeat(np.concatenate([d["held"] for _, d in sent]), many).astype(bool)
-    codes = np.unique(tokens, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)  # 0: before the start mark
+    small = not len(tokens) or int(tokens.max()) < (1 << 32) - 2
+    codes = (tokens if small else np.unique(tokens, return_inverse=True)[1]).astype(np.uint32) + np.uint32(1)  # 0: before the start mark
     total, inverse = _rolling(_mix(tokens.astype(np.uint64) + np.uint64(_BASE)))
 
     def context(k: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -478,12 +510,16 @@ def _search(sent: list[tuple[str, dict]], length: int, depth: int, piece: int) -
             own[b] += o
     answer, every_whole, every_own = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     answer[every_asked], every_whole[every_asked], every_own[every_asked] = found[asked_of], whole[asked_of], own[asked_of]
-    answer[every_known] = np.isin(whole_context[every_known], whole_context[asked[found == depth]])  # training positions that a held-out one matches to the end
+    # Training positions that a held-out one matches to the end, where that one may be searched further.
+    further = (found == depth) & ((0 < own) & (own < whole) | (not open_only))
+    answer[every_known] = np.isin(whole_context[every_known], whole_context[asked[further]])
+    goes = np.zeros(len(at), bool)
+    goes[every_asked] = further[asked_of]
     begin = 0
     for chunk, d in sent:
         k = slice(begin, begin + len(d["offset"]))
         begin = k.stop
-        on = int((answer[k][held[k]] == depth).sum() + answer[k][~held[k]].sum())
+        on = int(goes[k].sum() + answer[k][~held[k]].sum())
         yield chunk, {"answer": answer[k], "whole": every_whole[k], "own": every_own[k]}, on
 
 
@@ -510,7 +546,7 @@ def _shard(round_: int, piece: int):
             sent = [(r["chunk"], unpack(r["blob"])) for r in rows]
             rows.clear()
             if shard >= 0 and round_ > 2:
-                for chunk, answer, on in _search(sent, length, depth, piece):
+                for chunk, answer, on in _search(sent, length, depth, piece, depth >= SETTLED):
                     yield _rows(_BACK, [(chunk, shard, on, 0, pack(**answer))])
                 continue
             context, count = np.concatenate([d["context"] for _, d in sent]), np.concatenate([d["count"] for _, d in sent]).astype(np.int64)
@@ -540,46 +576,87 @@ def _ratio(own: np.ndarray, whole: np.ndarray, shorter: np.ndarray, escape) -> n
 
 
 class _State:
-    """What of a chunk is not scored yet: held-out positions and training positions of the next search, documents whose prefixes others have; and the sums so far of all its documents, of which `origin` are still there."""
+    """What of a chunk is not scored yet: held-out positions, of which `ask` are in the next search, training positions of that search, documents whose prefixes others have; and the sums so far of all its documents, of which `origin` are still there.
 
-    def __init__(self, c: _Chunk, done: np.ndarray, origin: np.ndarray, asked: np.ndarray, p: np.ndarray, known: np.ndarray, alive: np.ndarray, count: np.ndarray, rest: np.ndarray, whole: np.ndarray):
-        self.c, self.done, self.origin, self.asked, self.p, self.known, self.alive, self.count, self.rest, self.whole = c, done, origin, asked, p, known, alive, count, rest, whole
+    ratio: 0 or 1 where the context so far decides it, else OPEN; length: of the longest context, 0 where unknown.
+    """
+
+    OPEN = 2
+
+    def __init__(self, c: _Chunk, done: np.ndarray, origin: np.ndarray, left: np.ndarray, p: np.ndarray, ask: np.ndarray, ratio: np.ndarray, length: np.ndarray, known: np.ndarray, alive: np.ndarray, count: np.ndarray, rest: np.ndarray, whole: np.ndarray):
+        self.c, self.done, self.origin, self.left, self.p, self.ask, self.ratio, self.length, self.known, self.alive, self.count, self.rest, self.whole = c, done, origin, left, p, ask, ratio, length, known, alive, count, rest, whole
+
+    @property
+    def asked(self) -> np.ndarray:
+        return self.left[self.ask]
 
     def shrink(self) -> None:
         """Leaves out the documents that are scored."""
         c = self.c
-        docs = np.unique(np.concatenate([c.doc[self.asked], c.doc[self.known], self.alive]))
+        on = np.zeros(len(c.lengths), bool)
+        on[c.doc[self.left]] = on[c.doc[self.known]] = on[self.alive] = True
+        docs = np.flatnonzero(on)
         self.c = c.part(docs)
         shift = np.zeros(len(c.lengths), np.int64)
         shift[docs] = self.c.start - c.start[docs]
-        self.asked, self.known = self.asked + shift[c.doc[self.asked]], self.known + shift[c.doc[self.known]]
+        self.left, self.known = self.left + shift[c.doc[self.left]], self.known + shift[c.doc[self.known]]
         self.alive, self.origin = np.searchsorted(docs, self.alive), self.origin[docs]
 
     def save(self, folder: str, chunk: str) -> None:
         """p_1 of what is left rests in single precision."""
         u = np.uint64
-        _save(folder, chunk, pack(done=self.done, origin=self.origin.astype(u), asked=self.asked.astype(u), p=self.p.astype(np.float32), known=self.known.astype(u), alive=self.alive.astype(u), count=self.count, rest=self.rest.astype(np.float32), whole=self.whole, **self.c.arrays()))
+        _save(folder, chunk, pack(done=self.done, origin=self.origin.astype(u), left=self.left.astype(u), p=self.p.astype(np.float32), ask=self.ask.astype(np.uint8), ratio=self.ratio.astype(np.uint8), length=self.length.astype(np.uint32), known=self.known.astype(u), alive=self.alive.astype(u), count=self.count, rest=self.rest.astype(np.float32), whole=self.whole, **self.c.arrays()))
 
     @staticmethod
     def load(folder: str, chunk: str) -> _State:
         d = _load(folder, chunk)
         i = lambda k: d[k].astype(np.int64)
-        return _State(_Chunk(d), d["done"], i("origin"), i("asked"), d["p"].astype(np.float64), i("known"), i("alive"), d["count"], d["rest"].astype(np.float64), d["whole"])
+        return _State(_Chunk(d), d["done"], i("origin"), i("left"), d["p"].astype(np.float64), d["ask"].astype(bool), i("ratio"), i("length"), i("known"), i("alive"), d["count"], d["rest"].astype(np.float64), d["whole"])
 
     def add(self, positions: np.ndarray, p: np.ndarray) -> None:
         self.done = self.done + np.bincount(self.origin[self.c.doc[positions]], np.log10(p), len(self.done))
 
     def searched(self, sent: _Stretches, positions: np.ndarray, got: dict, depth: int) -> None:
-        """Takes the answers of a search: scores what has its longest match and keeps what matches to the end."""
-        place = np.searchsorted(positions, self.asked)
-        entry = sent.entry[place]
-        length, whole, own = got["answer"][entry], got["whole"][entry], got["own"][entry]
-        on = (length == depth) & (self.c.before[self.asked] + 1 > depth)
-        self.add(self.asked[~on], _ratio(own, whole, self.p, escape_of(np.maximum(length, 1)))[~on])
-        self.asked, self.p = self.asked[on], self.p[on]
+        """Takes the answers of a search: scores what is decided and keeps what is not."""
+        entry = sent.entry[np.searchsorted(positions, self.asked)]
+        self.settle(depth, got["answer"][entry], got["whole"][entry], got["own"][entry])
         met = got["answer"][sent.entry[np.searchsorted(positions, self.known)]] > 0
         self.known = self.known[met & (self.c.before[self.known] + 1 > depth)]
 
+    def settle(self, depth: int, found: np.ndarray, whole: np.ndarray, own: np.ndarray) -> None:
+        """Scores all positions that the answers decide: for each that was asked the tokens that match, `depth` at most, and the counts of that context and of its next token.
+
+        Contexts that go on beyond depth occur among those that end there. So if
+        all of these have the next token, or none has, the longest context has
+        that share too, and the next position's longest context is longer by one,
+        or it is not beyond depth. Only positions between these shares are asked
+        again, and the ones right after them, whose length is open; others take
+        their length from the position before.
+        """
+        c, at, ask = self.c, self.left, self.ask
+        if not len(at):
+            return
+        before = lambda x: np.r_[x[:1], x[:-1]]
+        every = lambda x: np.bincount(np.flatnonzero(ask), x, len(at)).astype(np.int64)
+        found, whole, own = every(found), every(whole), every(own)
+        after = np.r_[False, (at[1:] == at[:-1] + 1) & (c.before[at[1:]] > 0)]  # the position before is left, too
+        ratio = np.where(ask, np.where(own == 0, 0, np.where(own == whole, 1, self.OPEN)), self.ratio)
+        exact = ask & ((found < depth) | (c.before[at] + 1 <= depth) | (self.length == depth) | after & before(ask & (found < depth) | (ratio == 0)))
+        length = np.where(exact, found, self.length)
+        length = np.where((length == 0) & after & before(exact & (ratio == self.OPEN)), before(found) + 1, length)
+        number = np.arange(len(at))
+        root = np.maximum.accumulate(np.where((length == 0) & after & before(ratio == 1), 0, number))
+        behind = number - root
+        length = np.where(length[root] > 0, length[root] + behind, 0)
+        least = np.where(length > 0, length, depth + 1 + behind)  # what has no length yet follows a context that goes on
+        ends = exact | (ratio != self.OPEN) & ((length > 0) | (least >= SETTLED))
+        share = np.where(ratio == self.OPEN, own / np.maximum(whole, 1), ratio)[ends]
+        escape = escape_of(least[ends])
+        self.add(at[ends], (1 - escape) * share + escape * self.p[ends])
+        on = ~ends
+        self.left, self.p, self.ratio, self.length = at[on], self.p[on], ratio[on], length[on]
+        self.ask = (self.ratio == self.OPEN) | (behind[on] == 0)
+
     def prefixed(self, row: np.ndarray, count: np.ndarray, low: int, high: int) -> None:
         """Takes counts of the prefixes of over low and up to high words: scores the positions before them, and the rest of documents whose prefix nobody shares any more."""
         c, docs = self.c, self.alive
@@ -616,17 +693,18 @@ def _first_state(c: _Chunk, count: np.ndarray, tokens: int, types: int, train_do
     p = _ratio(two, whole, uni[c.words], ESCAPE[1])
     longer = c.before > 0
     before = np.where(longer, np.r_[0, two[:-1]], 0)  # count of the two tokens before
-    asked = np.flatnonzero((before > 0) & ~c.train)
+    left = np.flatnonzero((before > 0) & ~c.train)
+    begins = np.r_[True, left[1:] != left[:-1] + 1][: len(left)] | (c.before[left] == 1)  # the position before matches a token at most
     known = np.flatnonzero(longer & c.train & np.r_[False, met[:-1]])
     none = np.zeros(0, np.int64)
-    state = _State(c, np.zeros(len(c.lengths)), np.arange(len(c.lengths)), asked, p[asked], known, none, none, np.zeros(0), before[asked])
+    state = _State(c, np.zeros(len(c.lengths)), np.arange(len(c.lengths)), left, p[left], np.ones(len(left), bool), np.full(len(left), _State.OPEN), np.where(begins, 2, 0), known, none, none, np.zeros(0), before[left])
     final = np.flatnonzero((before == 0) & ~c.train | c.train & ~longer)
     state.add(final, p[final])
     # Training documents: the prefix of one word is the 2-gram of position 0.
     state.alive = np.flatnonzero(~c.held & (c.lengths > 1))
     state.count = two[c.start[state.alive]]
-    left = c.lengths[state.alive] - 1
-    state.rest = p[np.repeat(c.start[state.alive] + 1 - (np.cumsum(left) - left), left) + np.arange(left.sum())]
+    many = c.lengths[state.alive] - 1
+    state.rest = p[np.repeat(c.start[state.alive] + 1 - (np.cumsum(many) - many), many) + np.arange(many.sum())]
     row = c.prefixes(state.alive, 1, KNOWN)[0]
     state.prefixed(row, got["count"][went[n:]], 1, KNOWN)
     return state
@@ -647,13 +725,12 @@ def _triples(state: _State) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _tripled(state: _State, got: dict) -> None:
-    """Takes the counts of 3-grams: scores what has no longer context than two tokens; the rest goes on."""
+    """Takes the counts of 3-grams, a search to two tokens."""
     positions, *_, went = _triples(state)
     count, held = np.zeros(len(state.c.words) + 1, np.int64), np.zeros(len(state.c.words) + 1, bool)
     count[positions], held[positions] = got["count"][went], got["held"][went] > 0  # others end no 3-gram that matters
-    on = (count[state.asked - 1] > 0) & (state.c.before[state.asked] > 1)
-    state.add(state.asked[~on], _ratio(count[state.asked], state.whole, state.p, ESCAPE[2])[~on])
-    state.asked, state.p, state.whole = state.asked[on], state.p[on], np.zeros(0, np.int64)
+    state.settle(2, np.full(len(state.left), 2), state.whole, count[state.left])
+    state.whole = np.zeros(0, np.int64)
     state.known = state.known[held[state.known - 1] & (state.c.before[state.known] > 1)]
 
 
@@ -712,7 +789,7 @@ def _round(folder: str, round_: int, shards: int, wide: int, tokens: int, types:
 def _lengths(round_: int) -> tuple[int, int, int, int]:
     """Of rounds from 3: tokens that match before and at most after it, words of prefixes that are known before and after it."""
     k = round_ - 3
-    return (FIRST if k == 0 else DEPTH * STEP ** (k - 1)), DEPTH * STEP**k, KNOWN * STEP**k, KNOWN * STEP ** (k + 1)
+    return DEPTHS[k] if k < len(DEPTHS) else DEPTHS[-1] * STEP ** (k + 1 - len(DEPTHS)), DEPTHS[k + 1] if k + 1 < len(DEPTHS) else DEPTHS[-1] * STEP ** (k + 2 - len(DEPTHS)), KNOWN * WIDER**k, KNOWN * WIDER ** (k + 1)
 
 
 def _spread(hashes: np.ndarray, shards: int) -> np.ndarray:
