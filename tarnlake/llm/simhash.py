@@ -52,6 +52,7 @@ from ..operators.components import connected_components
 from .common import drop_written, fresh, shared_dir, shuffle_width, workers_find_package, written
 
 SEED, HEAVY, ROWS, SKETCH = 42, 8192, 16_384, 128
+BLOCK = 16 << 20  #: bytes of text whose pairs are verified together
 MAX_BROADCAST = 100_000  #: heavy keys (24 bytes each) that are sent to all executors; beyond it they are joined
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -112,9 +113,12 @@ def _set_prints(docs: DataFrame, shingle: int, width: int, key: str, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [sorted(set(shingles(t, shingle))) for t in b.column(1).to_pylist()]
-            digests = [_digest(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_print(x, width) for x in sets], pa.binary()), pa.array(digests, pa.binary())], ["key", "fp", "digest"])
+            prints, digests = [], []
+            for t in b.column(1):  # one set at a time: those of a batch are many times its text
+                x = sorted(set(shingles(t.as_py(), shingle)))
+                prints.append(_print(x, width))
+                digests.append(_digest(x))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(digests, pa.binary())], ["key", "fp", "digest"])
 
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, fp binary, digest binary")
@@ -143,17 +147,85 @@ def jaccard(a: bytes | None, b: bytes | None, shingle: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose texts (node, text) have at least this Jaccard similarity, written."""
+class _Sets:
+    """Sets of shingles by node, for pairs of nodes."""
+
+    def __init__(self, sets: dict[int, np.ndarray]):
+        self.nodes = np.array(sorted(sets), np.int64)
+        each = [sets[k] for k in self.nodes.tolist()]
+        self.size = np.array([len(x) for x in each], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        known, self.ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_inverse=True)
+        self.flag = np.zeros(len(known), bool)
+
+    def has(self, k: np.ndarray) -> np.ndarray:
+        return np.isin(k, self.nodes)
+
+    def alike(self, u: np.ndarray, v: np.ndarray, similarity: float, slab: int = 1_000_000) -> np.ndarray:
+        """Which pairs have at least this Jaccard similarity; pairs with one u stand together. Sets of about slab shingles are looked up at once."""
+        x, y = np.searchsorted(self.nodes, u), np.searchsorted(self.nodes, v)
+        piece = np.cumsum(self.size[y]) // slab
+        cut = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (piece[1:] != piece[:-1]), True])
+        common = np.empty(len(x), np.int64)
+        for a, b in zip(cut[:-1], cut[1:]):
+            own = self.ids[self.start[x[a]] : self.start[x[a]] + self.size[x[a]]]
+            many, begin = self.size[y[a:b]], self.start[y[a:b]]
+            upto = np.cumsum(many)
+            at = np.repeat(begin - (upto - many), many) + np.arange(many.sum())
+            self.flag[own] = True
+            hits = np.r_[0, np.cumsum(self.flag[self.ids[at]])]
+            self.flag[own] = False
+            common[a:b] = hits[upto] - hits[upto - many]
+        every = self.size[x] + self.size[y] - common
+        return np.where(every > 0, common / np.maximum(every, 1), 1.0) >= similarity
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """The pairs (u, v) whose texts (node, text) have at least this Jaccard similarity, written.
+
+    Near copies that fall short of it are pairs of each other: in a large group
+    there are many pairs of few texts. So a pair goes to the least neighbour of
+    its u, which most texts of a group share, and each text goes there once and is
+    cut into shingles once. Places of over block bytes of text are split by hashes
+    of u and v, so that every pair meets in one part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sets, ready = None, {}, None
         for b in batches:
-            u, v, x, y = (b.column(k).to_pylist() for k in range(4))
-            on = [k for k in range(len(u)) if jaccard(x[k], y[k], shingle) >= similarity]
-            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in on], pa.int64()), pa.array([v[k] for k in on], pa.int64())], ["u", "v"])
-
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-    return written(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "verified")
+            places, pair = b.column(0).to_numpy(), b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]) | (pair[1:] != pair[:-1]), True])
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()) if b.num_rows else ():
+                if place is None or places[i] != place:
+                    place, sets, ready = places[i], {}, None
+                node = b.column(1).slice(i, j - i)
+                if not pair[i]:
+                    for k, t in zip(node.to_pylist(), b.column(2).slice(i, j - i).to_pylist()):
+                        sets[k] = np.unique(np.array(shingles(t, shingle), np.uint64))
+                    continue
+                if ready is None:
+                    ready, sets = _Sets(sets), {}
+                u, v = node.to_numpy(), b.column(3).slice(i, j - i).to_numpy()
+                there = ready.has(u) & ready.has(v)  # rows without an id have no text here
+                u, v = u[there], v[there]
+                if not len(u):
+                    continue
+                on = ready.alike(u, v, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(u[on]), pa.array(v[on])], ["u", "v"])
+
+    both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    placed = written(pairs.join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("place")), "u"), "placed")
+    members = lambda d: d.select("place", F.col("u").alias("node")).union(d.select("place", "v")).distinct()
+    sizes = members(placed).join(texts.select("node", F.length("text").alias("n")), "node").groupBy("place").agg(F.sum("n").alias("n"))
+    parts = F.ceil(F.col("n") / (block // 2)).cast("long")
+    part = F.when(F.col("n") > block, F.xxhash64("place", F.pmod(F.xxhash64("u"), parts), F.pmod(F.xxhash64("v"), parts))).otherwise(F.col("place"))
+    split = written(placed.join(sizes, "place").select(part.alias("place"), "u", "v"), "split")
+    rows = members(split).join(texts, "node").select("place", "node", "text", F.lit(None).cast("long").alias("other"))
+    rows = rows.unionByName(split.select("place", F.col("u").alias("node"), F.lit(None).cast("binary").alias("text"), F.col("v").alias("other")))
+    sorted_ = rows.repartition(shuffle_width(pairs.sparkSession), "place").sortWithinPartitions("place", F.col("other").isNotNull(), "node")
+    out = written(sorted_.mapInArrow(run, "u long, v long"), "verified")
+    drop_written(placed, split)
+    return out
 
 
 def _csa(a, b, c):
