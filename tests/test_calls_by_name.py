@@ -11,7 +11,7 @@ from tarnlake.plans.registry import ORACLES, QUERIES
 
 from test_graph_queries import LINE, PART
 
-BY_NAME = ["boosted_scores", "callers_tiers", "components", "pagerank_global", "ppr_focus", "read_symbol", "repo_map_budget", "subsystem_members", "subsystems", "callees_tiers", "context_budget", "impact", "shortest_path", "degree_topn", "degree_lists"]
+BY_NAME = ["boosted_scores", "callers_tiers", "components", "pagerank_global", "ppr_focus", "read_symbol", "repo_map_budget", "subsystem_members", "subsystems", "callees_tiers", "context_budget", "impact", "shortest_path", "degree_topn", "degree_lists", "neighbours"]
 
 
 @pytest.fixture(scope="module")
