@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..errors import InvalidParams
 from ..functions.text import BLANKS, classify, estimate_tokens
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this module
 
 MAX_TERMS, KNN_BLOCK = 256, 8192  #: query terms that are filtered by a list; queries (of some hundred bytes) that are sent to all executors at once
+KNN_ROWS, KNN_PAIRS = 1024, 200_000_000  #: rows of either side in a product; pairs of a task
 
 
 def _is_pattern(contents: DataFrame, pattern: str) -> bool:
@@ -129,10 +138,75 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", em
             part = knn(vectors, numbered.where(F.col("block") == b).drop("block"), k, key, embedding, False)
             every = part if every is None else every.unionByName(part)
         return every
-    d = F.sqrt(F.aggregate(F.zip_with(F.col(embedding), F.col("q"), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = vectors.select(F.col(key).alias("id"), embedding).crossJoin(F.broadcast(queries)).select("query", "id", F.round(d, 6).alias("distance"))
+    asked = queries.where("q is not null").select("query", F.transform("q", lambda x: x.cast("double")).alias("q")).collect()  # a block
+    rows = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).alias("id"), F.transform(embedding, lambda x: x.cast("double")).alias("v"))
+    schema = StructType([queries.schema["query"], vectors.select(F.col(key).alias("id")).schema["id"], StructField("distance", DoubleType())])
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    sent = vectors.sparkSession.sparkContext.broadcast(([r["query"] for r in asked], np.array([r["q"] for r in asked], dtype=np.float64)))
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        for at, ids, d in nearest(q, batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in at], types[0]), pa.array(ids, types[1]), pa.array(d, types[2])], ["query", "id", "distance"])
+
+    # A file of vectors may be one task; the pairs are the work, so they set how many there are.
+    pairs = rows.repartition(max(1, min(2000, rows.count() * len(asked) // KNN_PAIRS))).mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.withColumn("distance", F.round("distance", 6)).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(q: np.ndarray, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
+    """(places of queries, ids, distances): of (id, v) all that may be among the k of least distance to 6 digits, then least id.
+
+    Products of matrices leave out pairs that are further than any of them by more than their rounding; the others'
+    distances are summed term by term. Of equal distances the k least ids are kept, so what is held is k rows a query or little more.
+    """
+    near = (np.empty(0, np.int64), np.empty(0, object), np.empty(0))
+    qn, limit = (q * q).sum(axis=1), np.full(len(q), np.inf)
+    for batch in batches:
+        every, flat = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1)
+        for s in range(0, batch.num_rows, KNN_ROWS):
+            ids, v = every[s : s + KNN_ROWS], np.stack(flat.slice(s, KNN_ROWS).to_numpy(zero_copy_only=False))
+            vn, found = (v * v).sum(axis=1), [near]
+            for b in range(0, len(q), KNN_ROWS):
+                part = q[b : b + KNN_ROWS]
+                slack = 1e-12 * (qn[b : b + KNN_ROWS] + vn.max())
+                d2 = vn[None, :] + qn[b : b + KNN_ROWS, None] - 2 * (part @ v.T)
+                bound = limit[b : b + KNN_ROWS]
+                if len(ids) >= k and np.isinf(bound).any():
+                    bound = np.minimum(bound, _beyond(np.sqrt(np.maximum(np.partition(d2, k - 1, axis=1)[:, k - 1], 0) + slack)))
+                i, j = np.nonzero(d2 <= (bound + slack)[:, None])
+                for c in range(0, len(i), 1 << 20):
+                    ci, cj = i[c : c + (1 << 20)], j[c : c + (1 << 20)]
+                    total = np.zeros(len(ci))
+                    for x in range(q.shape[1]):
+                        total += (v[cj, x] - part[ci, x]) ** 2
+                    found.append(_first((ci + b, ids[cj], np.sqrt(total)), k)[0])
+            near, most = _first(tuple(np.concatenate(x) for x in zip(*found)), k)
+            limit[most[0]] = _beyond(most[1])
+    yield near[0], near[1].tolist(), near[2]
+
+
+def _beyond(d: np.ndarray) -> np.ndarray:
+    """The square of a distance beyond all that are rounded to the same 6 digits."""
+    return (d + 2e-6) ** 2
+
+
+def _first(rows: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """rows (query, id, distance) that may be among the k of their query, and (query, distance) of each k-th."""
+    place = np.argsort(rows[1], kind="stable")
+    at, ids, d = (x[place] for x in rows)
+    place = np.lexsort((d, at))  # stable: ids stay in order
+    at, ids, d = at[place], ids[place], d[place]
+    since = lambda new: np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    new = np.r_[True, at[1:] != at[:-1]][: len(at)]
+    kth = since(new) == k - 1
+    far = np.full(int(at.max(initial=-1)) + 1, np.inf)
+    far[at[kth]] = d[kth] + 2e-6
+    kept = (d <= far[at]) & (since(new | np.r_[True, d[1:] != d[:-1]][: len(d)]) < k)
+    return (at[kept], ids[kept], d[kept]), (at[kth], d[kth])
 
 
 def fuzzy_score(candidate: str, query: str) -> int | None:
