@@ -115,7 +115,10 @@ def postings(symbols: DataFrame, most_bytes: int = 60_000) -> DataFrame:
         short = F.when(F.octet_length(text) <= most_bytes, text).otherwise(_cut(text, most_bytes))
         terms = F.filter(F.split(F.lower(short), r"[^\p{L}\p{N}]+"), lambda w: w != "") if name == "doc" else code_terms(short)
         t = symbols.select("path", "id", F.lit(name).alias("field"), terms.alias("terms")).withColumn("len", F.size("terms"))
-        part = t.select("path", "id", "field", "len", F.explode("terms").alias("term")).groupBy("path", "field", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+        # A row's terms are counted beside its list: a table of all rows' terms would be held by the few tasks that read a small file.
+        each = t.select("path", "id", "field", "len", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+        tf = F.size(F.filter("terms", lambda x: x == F.col("term"))) if name == "doc" else F.lit(1)  # code terms are distinct
+        part = each.select("path", "field", "term", "id", "len", tf.cast("long").alias("tf"))
         every = part if every is None else every.unionByName(part)
     return every
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tarnlake.operators import search, symbols
+from tarnlake.operators import indexing, lookup, search, symbols
 
 
 def test_every_symbol_of_the_very_name_is_found(spark):
@@ -30,3 +30,23 @@ def test_nearest_vectors_without_all_pairs_in_a_join(spark):
         want |= {(k, i, x, r + 1) for r, (x, i) in enumerate(sorted(d)[:5])}
     assert {(r["query"], r["id"], r["distance"], r["rank"]) for r in got.collect()} == want
     assert search.knn(df, q.limit(0), 5).count() == 0
+
+
+def _symbols(spark):
+    return spark.createDataFrame([(k, f"p{k % 4}", f"aName_{k % 9}", f"m::aName_{k % 9}", "the the ring the" if k % 2 else None) for k in range(60)], "id long, path string, name string, qualified_name string, doc string").selectExpr("*", "cast(null as string) as signature")
+
+
+def test_postings_are_counted_by_row(spark):
+    got = indexing.postings(_symbols(spark))
+    rows = {tuple(r) for r in got.where("id = 1 and field in ('name', 'doc')").collect()}
+    terms = ["aname_1", "name_1", "aname", "a", "name", "1"]
+    assert {r[2:] for r in rows if r[1] == "doc"} == {("the", 1, 4, 3), ("ring", 1, 4, 1)}
+    assert {(r[2], r[3], r[5]) for r in rows if r[1] == "name"} <= {(t, 1, 1) for t in terms} and got.count() == got.distinct().count()
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resolve_sends_no_table_through_the_driver(spark):
+    sym = _symbols(spark)
+    got = lookup.resolve(sym, sym.selectExpr("upper(name) as wanted").union(sym.select("qualified_name")).distinct())
+    assert {(r["wanted"], r["tier"]) for r in got.collect()} == {(f"ANAME_{k}", 4) for k in range(9)} | {(f"m::aName_{k}", 1) for k in range(9)}
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
