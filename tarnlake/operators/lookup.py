@@ -16,14 +16,15 @@ def exact(symbols: DataFrame, name: str, limit: int | None = None) -> DataFrame:
 
 def resolve(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted, id, tier): all rows of the first tier that has any; exact and caseless qualified name, then name."""
-    w = wanted.select("wanted", lower_ascii(F.col("wanted")).alias("lw")).distinct()
+    # Files of repeating names are far smaller than their rows, so a size guessed from them would send all symbols through the driver.
+    w = wanted.select("wanted", lower_ascii(F.col("wanted")).alias("lw")).distinct().hint("merge")
     s = symbols.select("id", "name", "qualified_name")
     by_q, by_n = s.withColumn("lw", lower_ascii(F.col("qualified_name"))), s.withColumn("lw", lower_ascii(F.col("name")))
     q = by_q.join(w, "lw").select("wanted", "id", F.when(F.col("qualified_name") == F.col("wanted"), 1).otherwise(2).alias("tier"))
     n = by_n.join(w, "lw").select("wanted", "id", F.when(F.col("name") == F.col("wanted"), 3).otherwise(4).alias("tier"))
     every = q.unionByName(n)
     first = every.groupBy("wanted").agg(F.min("tier").alias("tier"))
-    return every.join(first, ["wanted", "tier"]).select("wanted", "id", "tier").distinct()
+    return every.join(first.hint("merge"), ["wanted", "tier"]).select("wanted", "id", "tier").distinct()
 
 
 def file_summaries(files: DataFrame, symbols: DataFrame, top: int = 3) -> DataFrame:
