@@ -2,6 +2,7 @@
 
 import os
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -32,7 +33,7 @@ def wanted(d, name):
         c.execute(f"create view {t} as select * from '{os.path.join(d, t)}.parquet/*.parquet'")
     found = c.execute(ORACLES[name])
     names = [x[0] for x in found.description]
-    return names, found.fetchall()
+    return names, [tuple(float(x) if isinstance(x, Decimal) else x for x in r) for r in found.fetchall()]
 
 
 def same(got, want):
